@@ -113,3 +113,47 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = out * _BASE + hashes[k : k + m]
     return mix(out)
+
+
+class HashIndex:
+    """An open-addressing map from 64-bit keys to int64 values, probed for whole arrays at once."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.size = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, dtype=U), np.zeros(1 << bits, dtype=np.int64)
+
+    @staticmethod
+    def _named(keys: np.ndarray) -> np.ndarray:
+        return np.where(keys == 0, U(1), keys)
+
+    def get(self, keys: np.ndarray, default: int = -1) -> np.ndarray:
+        keys = self._named(keys)
+        out = np.full(len(keys), default, dtype=np.int64)
+        slot, at, mask = (keys >> U(64 - self.bits)).astype(np.int64), None, (1 << self.bits) - 1
+        while len(keys):
+            held = self.keys[slot]
+            same = held == keys
+            found = np.flatnonzero(same)
+            out[found if at is None else at[found]] = self.values[slot[found]]
+            left = np.flatnonzero(~same & (held != 0))
+            at = left if at is None else at[left]
+            keys, slot = keys[left], (slot[left] + 1) & mask
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct keys that are not in the map."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            old = self.keys != 0
+            kept, grown = (self.keys[old], self.values[old]), HashIndex(max(self.bits + 1, int(4 * (self.size + len(keys))).bit_length()))
+            grown.put(*kept)
+            self.bits, self.keys, self.values = grown.bits, grown.keys, grown.values
+        self.size += len(keys)
+        keys, mask = self._named(keys), (1 << self.bits) - 1
+        slot = (keys >> U(64 - self.bits)).astype(np.int64)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            mine = free & (self.keys[slot] == keys)
+            self.values[slot[mine]] = values[mine]
+            left = ~mine
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & mask
