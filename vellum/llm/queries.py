@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, pattern_packing, quality_rules
+from . import line_dedup, ngram_join, pattern_packing, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_read(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op8_pattern_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_line_dedup, op8_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
