@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, ngram_join, pattern_packing, quality_rules
+from . import decontaminate, line_dedup, ngram_join, pattern_packing, ppm, quality_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """The vocabulary file of a public tokenizer; operators take the path as a parameter."""
     import public_tokenizers
@@ -41,7 +45,7 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_line_dedup, op4_decontaminate, op8_pattern_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_line_dedup, op4_decontaminate, op5_ppm, op8_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
