@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, ngram_join, pattern_packing, ppm, quality_rules, suffix_dedup
+from . import chat_snapshots, decontaminate, line_dedup, ngram_join, pattern_packing, ppm, quality_rules, suffix_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_read(spark, sf_dir, "documents"))
 
 
+def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_snapshots.render(_read(spark, sf_dir, "conversations"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """The vocabulary file of a public tokenizer; operators take the path as a parameter."""
     import public_tokenizers
@@ -49,8 +53,8 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_line_dedup, op4_decontaminate, op5_ppm, op6_suffix_dedup, op8_pattern_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_line_dedup, op4_decontaminate, op5_ppm, op6_suffix_dedup, op7_chat_snapshots, op8_pattern_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op7_chat_snapshots": chat_snapshots.ORACLE_SQL}
