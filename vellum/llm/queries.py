@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_snapshots, decontaminate, line_dedup, ngram_join, pattern_packing, ppm, quality_rules, suffix_dedup
+from . import chat_snapshots, decontaminate, host_reputation, line_dedup, ngram_join, pattern_packing, ppm, quality_rules, suffix_dedup, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +53,21 @@ def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: (verdict, host and path)
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: what a rule says of the page, else whether its visible text is poor."""
+    pages = _read(spark, sf_dir, "pages")
+    host = urls.host(F.col("url"))
+    _, verdict = host_reputation.ruled(RULES, host, urls.path(F.col("url")))
+    outcomes = pages.select(host.alias("host"), F.coalesce(verdict == "block", host_reputation.content_outcome(F.col("html"))).alias("bad"))
+    return host_reputation.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_line_dedup, op4_decontaminate, op5_ppm, op6_suffix_dedup, op7_chat_snapshots, op8_pattern_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_line_dedup, op4_decontaminate, op5_ppm, op6_suffix_dedup, op7_chat_snapshots, op8_pattern_packing, op9_host_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
