@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_snapshots, decontaminate, host_reputation, line_dedup, ngram_join, pattern_packing, ppm, quality_rules, suffix_dedup, urls
+from . import chat_snapshots, decontaminate, host_reputation, language_fusion, line_dedup, ngram_join, pattern_packing, ppm, quality_rules, suffix_dedup, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +66,12 @@ def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_reputation.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_fusion.identify(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_line_dedup, op4_decontaminate, op5_ppm, op6_suffix_dedup, op7_chat_snapshots, op8_pattern_packing, op9_host_reputation)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_line_dedup, op4_decontaminate, op5_ppm, op6_suffix_dedup, op7_chat_snapshots, op8_pattern_packing, op9_host_reputation, op10_language_fusion)}
 
 
 def oracle_sql() -> dict[str, str]:
