@@ -135,7 +135,8 @@ def repeats(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(owner[at]), pa.array(signed[at, 0]), pa.array(signed[at, 1])], [KEY, "a", "b"])
 
     suspects = materialize(rows.mapInArrow(suspect, f"{KEY} long, a long, b long").distinct(), "suspects")
-    counted = suspects.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(KEY).alias("keeps")).where(F.col("n") >= min_docs)
+    # Written, so that the join below reads two plain shuffles and a very common line can be split.
+    counted = materialize(suspects.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(KEY).alias("keeps")).where(F.col("n") >= min_docs), "counted")
     lost = suspects.join(counted, ["a", "b"]).where(F.col(KEY) != F.col("keeps"))
     return lost.groupBy(KEY).agg(F.collect_list(F.struct("a", "b")).alias(DROPS))
 
