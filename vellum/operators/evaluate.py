@@ -26,7 +26,7 @@ def caught(cases: DataFrame, removed: DataFrame) -> DataFrame:
     """
     phrases = cases.select("id", "suite", T.words(F.col("text")).alias("tokens"), F.posexplode("sensitive").alias("nr", "s"))
     phrases = phrases.select("id", "suite", "nr", F.col("s.category").alias("category"), F.col("s.phrase").alias("phrase"), F.size(T.words(F.col("s.phrase"))).alias("size"), phrase_position(F.col("tokens"), T.words(F.col("s.phrase"))).alias("position"))
-    words = phrases.where("position IS NOT NULL").select("id", "nr", "size", F.explode(F.sequence("position", F.col("position") + F.col("size") - 1)).cast("long").alias("word_id"))
+    words = phrases.where("position IS NOT NULL").select("id", "nr", "size", F.explode(F.sequence(F.col("position").cast("long"), (F.col("position") + F.col("size") - 1).cast("long"))).alias("word_id"))
     gone = removed.select(F.col("session_id").alias("id"), "word_id").distinct()
     whole = words.join(gone, ["id", "word_id"], "left_semi").groupBy("id", "nr").agg(F.count("*").alias("n"))
     return phrases.join(whole, ["id", "nr"], "left").select("id", "suite", "category", "phrase", "position", (F.coalesce("n", F.lit(0)) == F.col("size")).alias("caught"))

@@ -80,5 +80,5 @@ def overlap_lengths(left: DataFrame, right: DataFrame, key: Sequence[str], width
     b = right.where(F.col(end) > F.col(start)).select(*key, F.col(start).alias("__s"), F.col(end).alias("__e"), cell(F.col(start), F.col(end)).alias("__cell"))
     low = F.greatest(F.col(start), F.col("__cell") * width)
     high = F.least(F.col(end), (F.col("__cell") + 1) * width)
-    met = a.join(b, [*key, "__cell"], "left").select(*key, start, end, F.coalesce(overlap(low, high, F.col("__s"), F.col("__e")), F.lit(0)).alias("__o"))
+    met = a.join(b, [*key, "__cell"], "left").select(*key, start, end, F.when(F.col("__s").isNotNull(), overlap(low, high, F.col("__s"), F.col("__e"))).otherwise(0).alias("__o"))  # greatest and least skip nulls
     return met.groupBy(*key, start, end).agg(F.sum("__o").cast("long").alias("covered"))

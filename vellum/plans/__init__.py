@@ -1 +1,19 @@
+"""Registered queries of the library, each with its SQL where SQL can state it."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from vellum.plans import records, tables, transcripts
+
+_MODULES = (transcripts, tables, records)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for m in _MODULES for f in m.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
