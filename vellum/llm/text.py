@@ -117,11 +117,11 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class HashIndex:
-    """An open-addressing map from 64-bit keys to int64 values, probed for whole arrays at once."""
+    """An open-addressing map from 64-bit keys to values below 2**31, probed for whole arrays at once; 12 bytes a slot."""
 
     def __init__(self, bits: int = 16):
         self.bits, self.size = bits, 0
-        self.keys, self.values = np.zeros(1 << bits, dtype=U), np.zeros(1 << bits, dtype=np.int64)
+        self.keys, self.values = np.zeros(1 << bits, dtype=U), np.zeros(1 << bits, dtype=np.int32)
 
     @staticmethod
     def _named(keys: np.ndarray) -> np.ndarray:
@@ -145,7 +145,7 @@ class HashIndex:
         """Adds distinct keys that are not in the map."""
         if 2 * (self.size + len(keys)) > len(self.keys):
             old = self.keys != 0
-            kept, grown = (self.keys[old], self.values[old]), HashIndex(max(self.bits + 1, int(4 * (self.size + len(keys))).bit_length()))
+            kept, grown = (self.keys[old], self.values[old]), HashIndex(max(self.bits + 1, int(2 * (self.size + len(keys))).bit_length()))
             grown.put(*kept)
             self.bits, self.keys, self.values = grown.bits, grown.keys, grown.values
         self.size += len(keys)
