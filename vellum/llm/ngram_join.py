@@ -31,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -68,7 +68,7 @@ class Bands:
         while True:
             parts = k + 1 + spare
             empty = parts * math.exp(-least / parts)
-            if spare >= empty + 1.65 * math.sqrt(empty):
+            if spare >= empty + 1.65 * math.sqrt(empty) or spare > k:  # for low similarities no number is enough; further cuts do the rest
                 return parts, 1, 0, spare
             spare += 1
 
@@ -148,20 +148,27 @@ def signatures(sets: list[np.ndarray], bands: Bands, levels: int = 40) -> tuple[
     return np.concatenate(who), np.concatenate(sigs)
 
 
-def sketch(shingles: np.ndarray, percent: int) -> bytes:
-    """Parities of the shingles per bit: two sketches differ in at most as many bits as the sets in shingles."""
+def sketch(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """Parities of the shingles per bit, as 64-bit integers: two sketches differ in at most as many bits as the sets in shingles."""
     k = max(8, 2 * len(shingles) * (100 - percent) // (100 + percent))
     bits = 1 << max(6, (4 * k).bit_length())
-    return np.packbits((np.bincount((shingles >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(bool)).tobytes()
+    return np.packbits((np.bincount((shingles >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(bool)).view(np.int64)
 
 
-def may_link(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
+def may_link(a: list[int], b: list[int], na: int, nb: int, percent: int) -> bool:
     """False only for sets that cannot be similar enough."""
     if 100 * min(na, nb) < percent * max(na, nb):
         return False
-    x, y = (np.frombuffer(s, dtype=np.uint8) for s in sorted((a, b), key=len))
+    x, y = (np.array(s, dtype=np.int64) for s in sorted((a, b), key=len))
     y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= (na + nb) * (100 - percent)
+    return int(np.bitwise_count((x ^ y).view(U)).sum()) * (100 + percent) <= (na + nb) * (100 - percent)
+
+
+def near(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Column:
+    """``may_link`` as a join condition; sketches of different lengths are let through."""
+    differing = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+    return sizes & F.when(F.size(sa) == F.size(sb), differing * (100 + percent) <= (na + nb) * (100 - percent)).otherwise(True)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -265,11 +272,11 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
         for batch, data, offsets in chunks(batches):
             sets = shingle_sets(data, offsets, words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes_of(sets)), pa.array([sketch(s, percent) for s in sets], pa.binary())],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes_of(sets)), pa.array([sketch(s, percent) for s in sets], pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "node", "sketch"],
             )
 
-    described = materialize(rows.mapInArrow(describe, "doc_id long, n_shingles long, node long, sketch binary"), "sets")
+    described = materialize(rows.mapInArrow(describe, "doc_id long, n_shingles long, node long, sketch array<long>"), "sets")
     shared = materialize(_shared(known, words, percent), "shared")
     nodes = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     met = shared.select("node").union(shared.select("rep")).distinct()
@@ -302,14 +309,21 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     links = materialize(_verified(materialize(possible(first), "pairs"), sets, percent), "links")
     labels = components(links)
 
-    # What still joins several components: all pairs between them.
+    # What still joins several components: all pairs between them that sizes and sketches leave possible.
     buckets = shared.select("sig", "node").union(shared.select("sig", "rep")).distinct().join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
     open_ = buckets.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    buckets = materialize(buckets.join(open_, "sig"), "buckets")
-    other = buckets.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
-    cross = buckets.select("sig", F.col("node").alias("a"), F.col("label").alias("la")).join(other, "sig").where("la <> lb AND a < b").select("a", "b").distinct()
+    open_ = materialize(buckets.join(open_, "sig"), "buckets")
+    buckets = materialize(open_.join(nodes.select("node", "n", "sketch"), "node"), "sketched")
+    side = lambda x: buckets.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "sketch")))
+    condition = (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & near(*(F.col(f"{c}_{x}") for c in ("n", "sketch") for x in "ab"), percent)
+    a, b = side("a"), side("b").withColumnRenamed("sig", "sig_b")
+    cross = a.join(b, (a["sig"] == b["sig_b"]) & condition).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     more = materialize(_verified(materialize(possible(cross), "pairs"), sets, percent), "links")
-    labels = components(links.union(more)) if not more.isEmpty() else labels
+    if not more.isEmpty():  # links between components: their labels are merged
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+        merged = components(more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+        ends = labels.union(more.select(F.col("a").alias("node"), F.col("a").alias("label")).union(more.select("b", "b")).distinct().join(labels, "node", "left_anti"))
+        labels = ends.join(merged.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left").select("node", F.coalesce("last", "label").alias("label"))
 
     joined = described.drop("sketch").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     smallest = joined.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("smallest"))
