@@ -4,8 +4,8 @@ A short list of rules decides the addresses that it fits. For the rest, labelled
 not) are counted per host; a host's rate of bad pages gets a beta prior around its registered domain's
 posterior mean, a domain's around its suffix's, a suffix's around the overall rate. How strong each
 prior is, is estimated from how much the rates of that level differ beyond chance (method of moments).
-A host is blocked when the lower bound of its posterior exceeds ``most_bad``, so that a host is never
-blocked for a few bad pages.
+The uncertainty of each level's mean goes down with it. A host is blocked when the lower bound of its
+posterior exceeds ``most_bad``, so that a host is never blocked for a few bad pages.
 
 Counts are added where the rows are before they are shuffled, so a host with a third of all pages
 costs no more. Host rates are broadcast up to ``broadcast_hosts`` hosts and joined with salted keys
@@ -76,11 +76,18 @@ def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     over = lambda t, name, key: t.join({"suffix": suffixes, "domain": domains}[name].select(key, F.col("n").alias(f"{name}_n"), F.col("bad").alias(f"{name}_bad")), key)
     s = _strength(suffixes.withColumns({"all_n": F.lit(max(n, 1.0)), "all_bad": F.lit(bad)}), "all")
     d, h = _strength(over(domains, "suffix", "suffix"), "suffix"), _strength(over(hosts, "domain", "domain"), "domain")
-    suffixes = suffixes.select("suffix", ((s * overall + F.col("bad")) / (s + F.col("n"))).alias("suffix_mean"))
-    domains = domains.join(suffixes, "suffix").select("domain", ((d * F.col("suffix_mean") + F.col("bad")) / (d + F.col("n"))).alias("domain_mean"))
-    size = h + F.col("n")
-    mean = (h * F.col("domain_mean") + F.col("bad")) / size
-    return hosts.join(domains, "domain").select("host", "n", "bad", mean.alias("mean"), (mean - z * F.sqrt(mean * (1 - mean) / (size + 1))).alias("bound"))
+
+    def posterior(strength: float, above: Column | float, spread: Column | float) -> tuple[Column, Column]:
+        """Mean and variance of a rate under a prior whose mean is itself uncertain by ``spread``."""
+        size = strength + F.col("n")
+        mean = (strength * above + F.col("bad")) / size
+        return mean, mean * (1 - mean) / (size + 1) + F.pow(strength / size, F.lit(2.0)) * spread
+
+    of = lambda level, m, v: (m.alias(f"{level}_mean"), v.alias(f"{level}_var"))
+    suffixes = suffixes.select("suffix", *of("suffix", *posterior(s, F.lit(overall), F.lit(0.0))))
+    domains = domains.join(suffixes, "suffix").select("domain", *of("domain", *posterior(d, F.col("suffix_mean"), F.col("suffix_var"))))
+    mean, var = posterior(h, F.col("domain_mean"), F.col("domain_var"))
+    return hosts.join(domains, "domain").select("host", "n", "bad", mean.alias("mean"), (mean - z * F.sqrt(var)).alias("bound"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], most_bad: float = 0.5, broadcast_hosts: int = 200_000, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
