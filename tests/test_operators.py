@@ -225,3 +225,42 @@ def test_receipts_stream(spark, tmp_path, small):
     events = spark.read.parquet(f"{small}/events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")).limit(300).coalesce(1)
     out = stream(spark, events, tmp_path, lambda s: captions.first_receipts(s, ["user_id", "event_type"], "ts", "3650 days"))
     assert out.count() == events.select("user_id", "event_type").distinct().count()
+
+
+def test_packages(spark, tmp_path):
+    clips = spark.createDataFrame([("sample-0123456789abcdef", k, source.wav_bytes(np.arange(4)), f"text {k}", 10, 2) for k in range(2)], "sample_id string, clip_ix int, audio binary, text string, duration_ms int, word_count int")
+    fields = {k: "x" for k in records.STRINGS}
+    headers = spark.createDataFrame([("sample-0123456789abcdef",)], "sample_id string").select("sample_id", F.lit(1).alias("eligibility_version"), F.lit(16_000).alias("sample_rate"), F.lit("en").alias("language"), F.lit(20).alias("duration_ms"), F.struct(*(F.lit(1).alias(k) for k in records.QUALITY_KEYS)).alias("quality"), *(F.lit(v).alias(k) for k, v in fields.items()))
+    made = records.packages(clips, headers)
+    assert made.select(records.manifest_reason(F.col("manifest"))).first()[0] is None
+    (tmp_path / "p.tar").write_bytes(made.select(records.archive("manifest", "payloads")).first()[0])
+    back = source.read_archives(spark, f"file://{tmp_path}/p.tar")
+    assert back.first()["reason"] is None
+    checked = back.select(F.lit(1).alias("package_id"), F.from_json(F.get_json_object("manifest", "$.checksums"), "map<string,string>").alias("checksums"), "payloads")
+    assert checked.select(F.size("checksums")).first()[0] == 4 and records.checksum_problems(checked).count() == 0
+
+
+def test_admissions(spark):
+    rows = [
+        ("t", "key-00001", 1, "d", "d", 10, None, "s1", "c"), ("t", "key-00001", 2, "d", "d", 10, None, "s9", "c"), ("t", "short", 3, "d", "d", 10, None, "s2", "c"), ("t", "key-00002", 4, "d", "e", 10, None, "s3", "c"),
+        ("t", "key-00003", 5, "d", "d", 10, "bad", "s4", "c"), ("t", "key-00004", 6, "d", "d", 10, None, "s5", "other"), ("t", "key-00005", 7, "d", "d", 10, None, "gone", "c"), ("t", "key-00006", 8, "d", "d", 10, None, "there", "c"),
+        ("t", "key-00007", 9, "d", "d", 10, None, "s1", "c"), ("u", "key-00008", 10, "d", "d", 10, None, "s6", "c"), ("t", "key-old01", 11, "d", "d", 10, None, "s7", "c"), ("t", "key-00010", 12, "d", "d", 10**9, None, "s8", "c"),
+    ]
+    make = spark.createDataFrame
+    requests = make(rows, "tenant_id string, key string, at long, declared_sha256 string, archive_sha256 string, bytes long, package_reason string, sample_id string, consent_id string")
+    out = control.admissions(
+        requests, make([("t", "key-old01", False, "old")], "tenant_id string, key string, accepted boolean, reason string"), make([("t", "c", None, 100), ("u", "c", None, 100), ("t", "other", 5, 100)], "tenant_id string, consent_id string, withdrawn_at long, expires_at long"),
+        make([("gone",)], "sample_id string"), make([("u", "there", 50)], "tenant_id string, sample_id string, bytes long"), make([("t", 10, 1000), ("u", 1, 1000)], "tenant_id string, max_samples int, max_bytes long"), 10,
+    )
+    got = [(r["accepted"], r["reason"], r["duplicate"]) for r in out.orderBy("at").collect()]
+    assert got == [
+        (True, None, False), (True, None, True), (False, "invalid_idempotency_key", False), (False, "declared_checksum_mismatch", False), (False, "invalid_package:bad", False), (False, "consent_not_active", False), (False, "sample_previously_deleted", False),
+        (False, "sample_id_conflict", False), (False, "sample_id_conflict", False), (False, "tenant_storage_cap_reached", False), (False, "old", True), (False, "package_too_large", False),
+    ]
+
+
+def test_event_permissions(spark):
+    events = spark.createDataFrame([(k,) for k in control.EVENT_SCOPES], "kind string")
+    clients = spark.createDataFrame([("a", ["status:read"], None), ("b", ["transcript:live", "transcript:final"], ["transcript.final", "error"]), ("c", [], None)], "client_id string, scopes array<string>, wanted array<string>")
+    got = {(r["client_id"], r["kind"]) for r in control.permitted(events, clients).collect()}
+    assert got == {("a", k) for k, s in control.EVENT_SCOPES.items() if s == "status:read"} | {("b", "transcript.final")}

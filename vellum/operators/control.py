@@ -212,3 +212,56 @@ def upload_outcome(now: int) -> Column:
         F.when(F.col("refusal").isNotNull(), "cancelled").when(F.col("cap").isNotNull(), "deferred").when(~F.col("archive_present"), "rejected")
         .when(late, "deletion_requested").when(F.col("acked") & F.col("accepted"), "acknowledged").when(F.col("acked"), "rejected").when(delay.isNotNull(), "retry").otherwise("gave_up")
     )
+
+
+def admissions(requests: DataFrame, receipts: DataFrame, consents: DataFrame, tombstones: DataFrame, samples: DataFrame, limits: DataFrame, now: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """(tenant_id, key, sample_id, accepted, reason, duplicate) for each request of a batch.
+
+    ``requests``: tenant_id, key, at, declared_sha256, archive_sha256, bytes, package_reason, sample_id,
+    consent_id. A key answered before (in ``receipts``: tenant_id, key, accepted, reason) gets that answer
+    again; of equal keys in the batch the first counts, and of equal samples the first. ``limits`` has
+    tenant_id, max_samples, max_bytes, held against what the tenant had before the batch.
+    """
+    from vellum.functions.text import IDEMPOTENCY_KEY
+
+    flag = lambda df, key, name: df.select(*key).distinct().withColumn(name, F.lit(True))
+    active = consents.where(F.col("withdrawn_at").isNull() & (F.col("expires_at") > now))
+    used = usage(samples, "tenant_id", "bytes").select("tenant_id", F.col("samples").alias("__n"), F.col("total").alias("__b"))
+    old = receipts.select("tenant_id", "key", F.col("accepted").alias("__accepted"), F.col("reason").alias("__reason"), F.lit(True).alias("__old"))
+    first = requests.groupBy("tenant_id", "key").agg(F.min("at").alias("__first"))
+    rows = (
+        requests.join(old, ["tenant_id", "key"], "left").join(first, ["tenant_id", "key"], "left").join(flag(active, ["tenant_id", "consent_id"], "__consent"), ["tenant_id", "consent_id"], "left")
+        .join(flag(tombstones, ["sample_id"], "__gone"), "sample_id", "left").join(flag(samples, ["sample_id"], "__there"), "sample_id", "left").join(limits, "tenant_id", "left").join(used, "tenant_id", "left")
+    )
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    refusal = first_reason([
+        ("invalid_idempotency_key", ~F.coalesce(F.col("key").rlike(IDEMPOTENCY_KEY), F.lit(False))), ("package_too_large", F.col("bytes") > most_bytes), ("declared_checksum_mismatch", F.coalesce(F.col("declared_sha256") != F.col("archive_sha256"), F.lit(True))),
+    ])
+    package = F.when(F.col("package_reason").isNotNull(), F.concat(F.lit("invalid_package:"), "package_reason"))
+    stored = first_reason([
+        ("consent_not_active", F.col("__consent").isNull()), ("sample_previously_deleted", F.col("__gone").isNotNull()), ("sample_id_conflict", F.col("__there").isNotNull()),
+        ("tenant_storage_cap_reached", (none("__n") >= F.col("max_samples")) | (none("__b") + F.col("bytes") > F.col("max_bytes"))),
+    ])
+    rows = rows.withColumn("__why", F.coalesce(refusal, package, stored)).withColumn("__again", F.coalesce(F.col("at") != F.col("__first"), F.lit(False)))
+    fresh = F.col("__why").isNull() & ~F.col("__again") & F.col("__old").isNull()
+    mine = rows.where(fresh).groupBy("sample_id").agg(F.min(F.struct("at", "tenant_id", "key")).alias("__m")).select(F.col("sample_id").alias("__s"), "__m")
+    rows = rows.join(mine, rows["sample_id"] == mine["__s"], "left")
+    conflict = fresh & (F.struct("at", "tenant_id", "key") != F.col("__m"))
+    own = F.when(conflict, "sample_id_conflict").otherwise(F.col("__why"))
+    answers = rows.select("tenant_id", "key", "at", "sample_id", "__old", "__again", F.when(F.col("__old"), F.col("__reason")).otherwise(own).alias("reason"), F.when(F.col("__old"), F.col("__accepted")).otherwise(own.isNull()).alias("accepted"))
+    heads = answers.where("NOT __again").select("tenant_id", "key", F.col("reason").alias("__r"), F.col("accepted").alias("__a"))
+    out = answers.join(heads, ["tenant_id", "key"], "left")
+    return out.select("tenant_id", "key", "at", "sample_id", F.when(F.col("__again"), F.col("__a")).otherwise(F.col("accepted")).alias("accepted"), F.when(F.col("__again"), F.col("__r")).otherwise(F.col("reason")).alias("reason"), (F.col("__again") | F.coalesce("__old", F.lit(False))).alias("duplicate"))
+
+
+#: The scope that each kind of event needs.
+EVENT_SCOPES = {
+    "session.started": "status:read", "transcript.partial": "transcript:live", "transcript.final": "transcript:final", "session.stopped": "status:read", "session.cancelled": "status:read", "error": "status:read",
+}
+
+
+def permitted(events: DataFrame, clients: DataFrame) -> DataFrame:
+    """Events (kind, ...) that each client (client_id, scopes, wanted or null) may see: its scopes cover the kind, and it asked for it."""
+    scopes = F.create_map(*(F.lit(x) for kv in EVENT_SCOPES.items() for x in kv))
+    kinds = clients.select("client_id", F.explode(F.filter(F.map_keys(scopes), lambda k: F.array_contains("scopes", scopes[k]) & (F.col("wanted").isNull() | F.array_contains("wanted", k)))).alias("kind"))
+    return events.join(kinds, "kind")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
 from vellum.functions import text as T
 from vellum.operators.control import first_reason
@@ -185,3 +185,38 @@ def classifier_windows(sessions: DataFrame, size: int = 220, overlap: int = 40)
     turns = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     windows = F.when(n > 0, F.aggregate(turns, start, step, lambda s: s["w"])).otherwise(F.array().cast("array<struct<first:int,stop:int>>"))
     return sessions.select("session_id", F.posexplode(windows).alias("window_ix", "w")).select("session_id", "window_ix", F.col("w.first").cast("long").alias("first_word"), F.col("w.stop").cast("long").alias("stop_word"))
+
+
+def packages(clips: DataFrame, headers: DataFrame) -> DataFrame:
+    """(sample_id, manifest, payloads): a manifest with checksums and the files that it names.
+
+    ``clips``: sample_id, clip_ix, audio (bytes), text, duration_ms, word_count; ``headers``: sample_id,
+    quality (struct) and the manifest's other plain fields.
+    """
+    name = F.format_string("clip-%03d", F.col("clip_ix"))
+    rows = clips.select("sample_id", "clip_ix", F.concat(name, F.lit(".wav")).alias("audio"), F.concat(name, F.lit(".txt")).alias("text"), "duration_ms", "word_count", F.sha2("audio", 256).alias("sha256"), F.sha2("text", 256).alias("t"), F.col("audio").alias("a"), F.col("text").cast("binary").alias("b"))
+    both = lambda x, y: F.array(F.struct(F.col("audio").alias("k"), F.col(x).alias("v")), F.struct(F.col("text").alias("k"), F.col(y).alias("v")))
+    listed = F.array_sort(F.collect_list(F.struct("clip_ix", F.struct(*CLIP_KEYS).alias("c"))))
+    made = rows.groupBy("sample_id").agg(
+        F.transform(listed, lambda x: x["c"]).alias("clips"), F.map_from_entries(F.array_sort(F.flatten(F.collect_list(both("sha256", "t"))))).alias("checksums"), F.map_from_entries(F.flatten(F.collect_list(both("a", "b")))).alias("payloads"), F.count("*").alias("clip_count")
+    )
+    whole = headers.join(made, "sample_id")
+    return whole.select("sample_id", F.to_json(F.struct(*MANIFEST_KEYS)).alias("manifest"), "payloads")
+
+
+@F.pandas_udf(BinaryType())
+def archive(manifests: pd.Series, payloads: pd.Series) -> pd.Series:
+    """A tar archive: the manifest, then the files by name; equal packages give equal bytes."""
+    import io
+    import tarfile
+
+    def one(manifest: str, files: object) -> bytes:
+        raw = io.BytesIO()
+        with tarfile.open(fileobj=raw, mode="w", format=tarfile.USTAR_FORMAT) as tar:
+            for name, body in [("manifest.json", manifest.encode()), *sorted((k, bytes(v)) for k, v in dict(files).items())]:
+                info = tarfile.TarInfo(name)
+                info.size, info.mode = len(body), 0o600
+                tar.addfile(info, io.BytesIO(body))
+        return raw.getvalue()
+
+    return pd.Series([one(m, p) for m, p in zip(manifests, payloads, strict=True)])
