@@ -186,3 +186,12 @@ def digest(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, log2_bits: i
 
     out = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("kept_sha256", T.StringType())))])
     return joined.mapInArrow(apply, out)
+
+
+ORACLE_SQL = r"""
+WITH l AS (SELECT doc_id, i, lines[i] AS line, len(lines) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x09-\x0D\x20]+', ''), '[\x09-\x0D\x20]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key, max(doc_id) AS keeps FROM (SELECT DISTINCT key, doc_id FROM k WHERE length(key) >= 20) GROUP BY key HAVING count(*) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeps <> doc_id) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeps IS NULL OR keeps = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN often USING (key) GROUP BY doc_id
+"""

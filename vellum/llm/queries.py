@@ -70,9 +70,53 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_fusion.identify(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents"))
 
 
+def _strength_sql(name: str, rows: str) -> str:
+    """A CTE with one row v: how strong the prior is over rows of n, bad, pn, pbad (see ``host_reputation``)."""
+    return f"""{name} AS (
+  SELECT CASE WHEN coalesce(whole, 0) = 0 OR spread <= chance THEN 1000.0 ELSE least(1000.0, greatest(2.0, whole / (spread - chance) - 1)) END::DOUBLE AS v
+  FROM (SELECT sum(n * (bad / n - m) * (bad / n - m)) AS spread, sum(m * (1 - m)) AS chance, sum(n * m * (1 - m)) AS whole FROM (SELECT n, bad, pbad / pn AS m FROM ({rows})))
+)"""
+
+
+def _posterior_sql(strength: str, above: str, spread: str) -> str:
+    mean = f"(({strength} * {above} + bad) / ({strength} + n))"
+    return f"{mean} AS m, {mean} * (1 - {mean}) / ({strength} + n + 1) + ({strength} / ({strength} + n)) ** 2 * {spread} AS v"
+
+
+_TWO_LABELS = ", ".join(f"'{x}'" for x in urls.TWO_LABEL_SUFFIXES)
+HOST_SQL = rf"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g') AS t FROM pages
+),
+r AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+    len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) < 20 OR length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) * 10 > length(regexp_replace(t, '[\x20\x09-\x0D#*$%&|<>]+', '', 'g')) AS poor FROM p
+),
+o AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN true WHEN rule IS NOT NULL THEN false ELSE poor END AS bad FROM r),
+h0 AS (SELECT host, count(*)::DOUBLE AS n, sum(bad::INT)::DOUBLE AS bad FROM o WHERE bad IS NOT NULL GROUP BY host),
+h1 AS (
+  SELECT *, CASE WHEN regexp_full_match(host, '[0-9.]+(:[0-9]+)?') THEN host WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({_TWO_LABELS}) THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain FROM h0
+),
+h AS (SELECT *, CASE WHEN regexp_full_match(domain, '[0-9.]+(:[0-9]+)?') OR NOT contains(domain, '.') THEN domain ELSE regexp_replace(domain, '^[^.]*\.', '') END AS suffix FROM h1),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),
+a AS (SELECT sum(n) AS n, sum(bad) AS bad FROM s),
+{_strength_sql("ks", "SELECT s.n, s.bad, a.n AS pn, a.bad AS pbad FROM s, a")},
+{_strength_sql("kd", "SELECT d.n, d.bad, s.n AS pn, s.bad AS pbad FROM d JOIN s USING (suffix)")},
+{_strength_sql("kh", "SELECT h.n, h.bad, d.n AS pn, d.bad AS pbad FROM h JOIN d USING (domain)")},
+s2 AS (SELECT suffix, {_posterior_sql("k", "pm", "0.0")} FROM (SELECT s.*, ks.v AS k, a.bad / a.n AS pm FROM s, ks, a)),
+d2 AS (SELECT domain, {_posterior_sql("k", "pm", "pv")} FROM (SELECT d.*, kd.v AS k, s2.m AS pm, s2.v AS pv FROM d JOIN s2 USING (suffix), kd)),
+h2 AS (SELECT host, {_posterior_sql("k", "pm", "pv")} FROM (SELECT h.*, kh.v AS k, d2.m AS pm, d2.v AS pv FROM h JOIN d2 USING (domain), kh))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN coalesce(m - 1.645 * sqrt(v), 0) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM o LEFT JOIN h2 USING (host)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_line_dedup, op4_decontaminate, op5_ppm, op6_suffix_dedup, op7_chat_snapshots, op8_pattern_packing, op9_host_reputation, op10_language_fusion)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op7_chat_snapshots": chat_snapshots.ORACLE_SQL}
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op7_chat_snapshots": chat_snapshots.ORACLE_SQL, "op9_host_reputation": HOST_SQL}
