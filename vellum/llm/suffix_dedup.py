@@ -141,7 +141,7 @@ def spans(docs: DataFrame, length: int = 400, gram: int | None = None, most: int
     found = texts.select("a", "b", "owner", F.explode(F.arrays_zip("at.hash", "at.p", "at.back")).alias("x")).select("a", "b", "owner", "x.hash", "x.p", "x.back")
     common = materialize(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "common")
     suspects = found.join(common, "hash").groupBy("a", "b", "owner").agg(F.collect_list(F.struct("hash", "n", "p", "back")).alias("anchors"))
-    held = materialize(rows.select("a", "b", "owner", "text").join(suspects, ["a", "b", "owner"]).select("a", "b", "text", "anchors"), "suspects")
+    held = materialize(rows.select("a", "b", "owner", "text").join(suspects, ["a", "b", "owner"]).dropDuplicates(["a", "b", "owner"]).select("a", "b", "text", "anchors"), "suspects")  # a repeated row counts once
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
