@@ -12,8 +12,9 @@ its partners on a filled part, and a set with more sends the signatures of a sec
 Documents with equal sets are one node. Signatures travel as packed arrays by slices of their range;
 a task keeps one node per signature and reports the others, so a signature that very many documents
 share needs no more memory. Every reported node is checked exactly against the node with which it
-shares most signatures; in signatures that then still join several components, all pairs between
-components are checked (pruned by parity sketches, which bound the difference from below). No pair
+shares most signatures. Signatures that then still join several components are looked at again, twice
+against one node each, then all pairs between components (pruned by sizes and parity sketches, which
+bound the difference from below, in the join itself). No pair
 within one component is ever formed, and no link between different components is lost.
 
 Defined cases: a text without words has an empty set and links with nothing; a text of fewer words
@@ -155,20 +156,13 @@ def sketch(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.packbits((np.bincount((shingles >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(bool)).view(np.int64)
 
 
-def may_link(a: list[int], b: list[int], na: int, nb: int, percent: int) -> bool:
-    """False only for sets that cannot be similar enough."""
-    if 100 * min(na, nb) < percent * max(na, nb):
-        return False
-    x, y = (np.array(s, dtype=np.int64) for s in sorted((a, b), key=len))
-    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return int(np.bitwise_count((x ^ y).view(U)).sum()) * (100 + percent) <= (na + nb) * (100 - percent)
-
-
 def near(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Column:
-    """``may_link`` as a join condition; sketches of different lengths are let through."""
-    differing = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-    return sizes & F.when(F.size(sa) == F.size(sb), differing * (100 + percent) <= (na + nb) * (100 - percent)).otherwise(True)
+    """False only for sets that cannot be similar enough, by their sizes and sketches; where one sketch is twice as long, its halves are laid over each other."""
+    over = lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+    half = lambda s: over(F.slice(s, 1, (F.size(s) / 2).cast("int")), F.slice(s, (F.size(s) / 2).cast("int") + 1, (F.size(s) / 2).cast("int")))
+    few = lambda a, b: F.aggregate(over(a, b), F.lit(0), lambda t, x: t + F.bit_count(x)) * (100 + percent) <= (na + nb) * (100 - percent)
+    a, b = F.size(sa), F.size(sb)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & F.when(a == b, few(sa, sb)).when(a == 2 * b, few(half(sa), sb)).when(2 * a == b, few(sa, half(sb))).otherwise(True)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -261,6 +255,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.union(hubs).repartition(shuffle_parts(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(check, "a long, b long")
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` once further links have merged components; a node without a label is its own."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    merged = components(links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    ends = labels.union(new.select("node", F.col("node").alias("label")))
+    return ends.join(merged.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+
+
 def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     spark = docs.sparkSession
@@ -292,16 +295,9 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     wanted = nodes.select("doc_id", F.col("node").alias("expected"))
     sets = materialize(known.join(wanted, "doc_id").mapInArrow(shingles, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
 
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [may_link(*x, percent) for x in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     def possible(pairs: DataFrame) -> DataFrame:
-        a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        near = pairs.join(a, "a").join(b, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-        return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(prune, "a long, b long")
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(near(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)).select("a", "b")
 
     # Each node against the one with which it shares most signatures.
     ties = shared.groupBy("node", "rep").agg(F.count("*").alias("n"))
@@ -309,21 +305,25 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
     links = materialize(_verified(materialize(possible(first), "pairs"), sets, percent), "links")
     labels = components(links)
 
-    # What still joins several components: all pairs between them that sizes and sketches leave possible.
-    buckets = shared.select("sig", "node").union(shared.select("sig", "rep")).distinct().join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    open_ = buckets.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    open_ = materialize(buckets.join(open_, "sig"), "buckets")
-    buckets = materialize(open_.join(nodes.select("node", "n", "sketch"), "node"), "sketched")
-    side = lambda x: buckets.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "sketch")))
-    condition = (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & near(*(F.col(f"{c}_{x}") for c in ("n", "sketch") for x in "ab"), percent)
-    a, b = side("a"), side("b").withColumnRenamed("sig", "sig_b")
-    cross = a.join(b, (a["sig"] == b["sig_b"]) & condition).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    more = materialize(_verified(materialize(possible(cross), "pairs"), sets, percent), "links")
-    if not more.isEmpty():  # links between components: their labels are merged
-        of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
-        merged = components(more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-        ends = labels.union(more.select(F.col("a").alias("node"), F.col("a").alias("label")).union(more.select("b", "b")).distinct().join(labels, "node", "left_anti"))
-        labels = ends.join(merged.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    # What still joins several components. First the nodes of a signature against one of them, twice, so
+    # that large classes in pieces come together; then all pairs that sizes and sketches leave possible.
+    members = shared.select("sig", "node").union(shared.select("sig", "rep")).distinct()
+    for turn in range(3):
+        rows = members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
+        several = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+        rows = materialize(rows.join(several, "sig"), "buckets")
+        members = rows.select("sig", "node")
+        rows = materialize(rows.join(nodes.select("node", "n", "sketch"), "node"), "sketched")
+        columns = ("node", "label", "n", "sketch")
+        a = rows.select("sig", *(F.col(c).alias(f"{c}_a") for c in columns))
+        b = rows if turn == 2 else rows.groupBy("sig").agg(F.min_by(F.struct(*columns), F.xxhash64("node", F.lit(turn))).alias("r")).select("sig", "r.*")
+        b = b.select(F.col("sig").alias("sig_b"), *(F.col(c).alias(f"{c}_b") for c in columns))
+        once = F.col("node_a") < F.col("node_b") if turn == 2 else F.lit(True)
+        possible_ = (F.col("label_a") != F.col("label_b")) & once & near(*(F.col(f"{c}_{x}") for c in ("n", "sketch") for x in "ab"), percent)
+        met = a.join(b, (a["sig"] == b["sig_b"]) & possible_).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+        more = materialize(_verified(materialize(met, "pairs"), sets, percent), "links")
+        if not more.isEmpty():
+            labels = materialize(_joined(labels, more), "labels")
 
     joined = described.drop("sketch").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     smallest = joined.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("smallest"))
