@@ -287,7 +287,7 @@ FROM orders LEFT JOIN (SELECT * FROM consent WHERE tenant_id % 23 <> 0) ON tenan
     "lineage_closure": f"""WITH RECURSIVE {_EDGES}, reach AS (SELECT child AS node FROM edges WHERE parent IN ('region-0', 'region-1') UNION SELECT child FROM reach JOIN edges ON parent = node) SELECT DISTINCT node FROM reach""",
     "cascade_deletion": """SELECT c_nationkey AS tenant_id, count(*) AS samples, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 3) AS revoked FROM customer WHERE c_nationkey >= 3 GROUP BY c_nationkey""",
     "sequence_gaps": "SELECT * FROM (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events) WHERE step > 60",
-    "rate_limit": "SELECT event_id, count(*) OVER w AS recent, count(*) OVER w <= 2 AS allowed FROM (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS "at" FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY "at" RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)",
+    "rate_limit": """SELECT event_id, count(*) OVER w AS recent, count(*) OVER w <= 2 AS allowed FROM (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS "at" FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY "at" RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)""",
     "recall_tallies": """WITH t AS (
   SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' ELSE 'source' END AS dimension, coalesce(lang, source) AS value, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END)::BIGINT AS caught, count(*) AS total
   FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang), (source))
