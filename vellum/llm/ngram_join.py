@@ -152,7 +152,7 @@ def signatures(sets: list[np.ndarray], bands: Bands, levels: int = 40) -> tuple[
 def sketch(shingles: np.ndarray, percent: int) -> np.ndarray:
     """Parities of the shingles per bit, as 64-bit integers: two sketches differ in at most as many bits as the sets in shingles."""
     k = max(8, 2 * len(shingles) * (100 - percent) // (100 + percent))
-    bits = 1 << max(6, (4 * k).bit_length())
+    bits = 1 << max(8, (8 * k).bit_length())
     return np.packbits((np.bincount((shingles >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(bool)).view(np.int64)
 
 
