@@ -110,6 +110,16 @@ def test_ppm_scores(spark):
         assert math.isclose(got[i], model.score(t), rel_tol=1e-4), i
 
 
+def test_ppm_scores_keep_every_context(spark):
+    """The number of grams that travel with the tasks changes nothing; nor does having nothing to learn from."""
+    table = [(k, t and t[:300]) for k, (_, t) in enumerate(rows()) if k % 4 == 0] + [(900, None), (901, "")]
+    for some in (table, [(i, t) for i, t in table if brute.held_out(i)]):
+        model = brute.Ppm([t for i, t in some if not brute.held_out(i)], ppm.ORDER)
+        got = {r["doc_id"]: r["score"] for r in ppm.score_documents(documents(spark, some), nodes=40).collect()}
+        for i, t in some:
+            assert math.isclose(got[i], model.score(t), rel_tol=1e-9), i
+
+
 def test_ppm_is_a_distribution():
     """Probabilities of all next symbols sum to one, also where the trie has been cut."""
     rng = np.random.default_rng(3)

@@ -6,11 +6,12 @@ context escapes (method D: each distinct symbol gives up half a count) to the ne
 yet excluded are equally likely. As every shorter context has seen what a longer one has, the
 excluded set is always the last context's, and one denominator per context says it all.
 
-Counting covers all training texts: tasks count their (context, symbol) grams, Spark sums them. The
-trie that tasks score with has at most ``nodes`` grams: contexts below a count, the least level that
-fits, are left out and fall through to shorter ones. Likewise token counts down to a
-threshold (at most ``tokens``) travel with the tasks for the unigram baseline, and rarer tokens are
-counted by a join, so the baseline is exact.
+Counting covers all training texts: tasks count their (context, symbol) grams, Spark sums them. No
+gram is left out: the probability of each distinct gram of the documents, learned or only met in held-out
+ones, is found once by joins with the tables of grams and contexts. Those that occur most (at most ``nodes``, down to a
+threshold) travel with the tasks; rarer ones are added by a join. Likewise token counts down to a
+threshold (at most ``tokens``) travel for the unigram baseline, and rarer tokens are counted by a
+join, so both scores are exact whatever the thresholds.
 
 Defined cases: a null or empty text is the end symbol alone. A null doc_id counts as the empty string
 for the split. Repeated rows are scored each on its own, and learned from as often as they occur.
@@ -160,7 +161,7 @@ def _finder(names: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
 
 
 class Trie:
-    """The contexts and grams that score, as arrays (see ``log10``)."""
+    """The contexts and grams of a small model, as arrays (see ``log10``): in memory what ``probabilities`` finds by joins."""
 
     def __init__(self, order: np.ndarray, gram: np.ndarray, count: np.ndarray):
         arranged = np.lexsort((gram, order))
@@ -224,20 +225,66 @@ class Trie:
         return out
 
 
-def learn(table: DataFrame, nodes: int) -> Trie:
-    """The trie of the summed grams: all of orders 0 and 1, deeper ones whose context is frequent enough."""
-    grams = table.where("kind = 1")
+def _masked(gram: Column, n: Column) -> Column:
+    """The last n symbols of a gram, where n is a column."""
+    return gram.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (n * BITS).cast("int")) - 1)
+
+
+def _levels(grams: DataFrame) -> DataFrame:
+    """(order, gram, n): the grams (key, n) of all orders."""
     levels = None
     for order in range(ORDER + 1):
         cut = grams.select(F.lit(order).alias("order"), F.col("key").bitwiseAND((1 << BITS * (order + 1)) - 1).alias("gram"), "n")
         levels = cut if levels is None else levels.union(cut)
-    levels = materialize(levels.groupBy("order", "gram").agg(F.sum("n").alias("n")), "levels")
-    context = F.shiftright("gram", BITS)
-    totals = levels.groupBy("order", context.alias("context")).agg(F.sum("n").alias("total"))
-    weighed = materialize(levels.withColumn("context", context).join(totals, ["order", "context"]).drop("context"), "weighed")
-    least = _threshold(weighed.where("order > 1"), F.col("total"), nodes)
-    kept = weighed.where((F.col("order") <= 1) | (_level(F.col("total")) >= least)).select("order", "gram", "n").toArrow()  # at most ``nodes`` and SYMBOLS squared
-    return Trie(kept["order"].to_numpy().astype(np.int64), kept["gram"].to_numpy(), 2 * kept["n"].to_numpy() - 1)
+    return levels.groupBy("order", "gram").agg(F.sum("n").alias("n"))
+
+
+def _contexts(levels: DataFrame) -> DataFrame:
+    """(order, context, total, distinct, again, rest): what leaving a context, and the one before it, costs.
+
+    ``rest`` is the denominator one symbol shorter without the symbols seen here, ``again`` the log10 of the
+    share of it that escapes once more.
+    """
+    below = levels.select((F.col("order") + 1).alias("order"), F.col("gram").alias("suffix"), (2 * F.col("n") - 1).alias("there"))
+    own = levels.withColumn("suffix", _masked(F.col("gram"), F.col("order"))).join(below, ["order", "suffix"], "left")
+    totals = own.groupBy("order", F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("there").alias("excluded"))
+    totals = materialize(totals, "totals")
+    parent = totals.select((F.col("order") + 1).alias("order"), F.col("context").alias("parent"), F.col("total").alias("n"), F.col("distinct").alias("d"))
+    deep = totals.where("order > 0").withColumn("parent", _masked(F.col("context"), F.col("order") - 1)).join(parent, ["order", "parent"])
+    fresh = F.col("d") - F.col("distinct")
+    deep = deep.withColumn("rest", 2 * F.col("n") - F.col("d") - F.col("excluded") + fresh)
+    again = F.when(fresh > 0, F.log10(fresh / F.col("rest"))).otherwise(0.0)
+    columns = ["order", "context", "total", "distinct", "again", "rest"]
+    return deep.withColumn("again", again).select(columns).union(totals.where("order = 0").withColumns({"again": F.lit(0.0), "rest": F.lit(None).cast("long")}).select(columns))
+
+
+def probabilities(learned: DataFrame, met: DataFrame) -> DataFrame:
+    """(key, times, log10): each distinct gram of ``learned`` and ``met`` (key, n), how often it occurs and its probability by ``learned``."""
+    both = learned.select("key", "n", F.col("n").alias("times")).union(met.select("key", F.lit(0).cast("long"), "n"))
+    every = materialize(both.groupBy("key").agg(F.sum("n").alias("n"), F.sum("times").alias("times")), "keys")
+    levels = materialize(_levels(learned), "levels")
+    contexts = materialize(_contexts(levels), "contexts")
+    whole = contexts.where(F.col("order") == ORDER).select("context", "total")
+    seen = every.where("n > 0").withColumn("context", F.shiftright("key", BITS)).join(whole, "context")
+    seen = seen.select("key", "times", F.log10((2 * F.col("n") - 1) / (2 * F.col("total"))).alias("log10"))
+
+    # Grams never learned: their shorter forms against the tables. Orders 0 and 1 have at most SYMBOLS squared grams, so they are broadcast and no row of theirs is dealt by a hot context.
+    cut = every.where("n = 0").select("key", "times", F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("order"))
+    cut = cut.withColumn("gram", _masked(F.col("key"), F.col("order") + 1)).withColumn("context", F.shiftright("gram", BITS))
+    parts = []
+    for short in (True, False):
+        some, small = F.col("order") <= 1 if short else F.col("order") > 1, F.broadcast if short else (lambda x: x)
+        parts.append(cut.where(some).join(small(levels.where(some)), ["order", "gram"], "left").join(small(contexts.where(some)), ["order", "context"], "left").select("key", "times", "order", "n", "total", "distinct", "again", "rest"))
+    found, left = F.col("n").isNotNull(), F.col("n").isNull() & F.col("total").isNotNull()  # orders that know the symbol; longer ones that know the context only
+    at = F.col("order")
+    folded = parts[0].union(parts[1]).groupBy("key").agg(
+        F.first("times").alias("times"), F.max_by("n", F.when(found, at)).alias("n"), F.max_by("total", F.when(found, at)).alias("total"), F.max(F.when(at == 0, F.col("distinct"))).alias("symbols"),
+        F.max_by(F.log10(F.col("distinct") / (2 * F.col("total"))), F.when(left, at)).alias("escape"), F.sum(F.when(left, F.col("again"))).alias("again"),
+        F.min_by("again", F.when(left, at)).alias("last"), F.min_by("rest", F.when(left, at)).alias("rest"),
+    )
+    end = F.when(F.col("n").isNull(), -F.log10(SYMBOLS - F.coalesce("symbols", F.lit(0)))).when(F.col("escape").isNull(), F.log10((2 * F.col("n") - 1) / (2 * F.col("total")))).otherwise(F.log10((2 * F.col("n") - 1) / F.col("rest")))
+    way = F.coalesce(F.col("escape") + F.col("again") - F.col("last"), F.lit(0.0))
+    return materialize(seen.union(folded.select("key", "times", (way + end).alias("log10"))), "probabilities")
 
 
 def score_documents(docs: DataFrame, nodes: int = 1_500_000, tokens: int = 400_000, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
@@ -252,20 +299,30 @@ def score_documents(docs: DataFrame, nodes: int = 1_500_000, tokens: int = 400_0
     total, distinct = int(sums["n"]), int(sums["v"])
     least = _threshold(words, F.col("n"), tokens)
     common = words.where(_level(F.col("n")) >= least).select("key", "n").toArrow()  # at most ``tokens`` rows
-    trie = learn(table, nodes)
-    model = spark.sparkContext.broadcast((trie, common["key"].to_numpy().astype(np.int64).view(U), common["n"].to_numpy().astype(np.int64)))
+    met = materialize(counts(rows.where("held_out").select("text")).where("kind = 1").select("key", "n"), "met")
+    known = probabilities(table.where("kind = 1").select("key", "n"), met)
+    often = _threshold(known, F.col("times"), nodes)
+    frequent = known.where(_level(F.col("times")) >= often).select("key", "log10").toArrow()  # at most ``nodes`` rows
+    order = np.argsort(frequent["key"].to_numpy())
+    # In order, and a key greater than all grams behind: tasks search in it and build no table.
+    frequent = np.append(frequent["key"].to_numpy()[order], np.int64(1) << np.int64(62)), np.append(frequent["log10"].to_numpy()[order], 0.0)
+    model = spark.sparkContext.broadcast((*frequent, common["key"].to_numpy().astype(np.int64).view(U), common["n"].to_numpy().astype(np.int64)))
     base = np.log10(total + distinct + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, keys, n = model.value
-        trie.ready()
+        symbol_keys, symbol_logs, keys, n = model.value
         index = HashIndex()
         index.put(keys, np.arange(len(keys)))
         logs = np.append(np.log10(n + 1.0), 0.0)
         for batch, data, offsets in chunks(batches):
             w = Words(data, offsets, LOWER)
             keyed, bounds = symbols(data, offsets, w)
-            sums = np.concatenate([[0], np.cumsum(trie.log10(keyed))])
+            hit = np.searchsorted(symbol_keys, keyed)
+            absent = symbol_keys[hit] != keyed
+            hit[absent] = len(symbol_keys) - 1
+            sums = np.concatenate([[0], np.cumsum(symbol_logs[hit])])
+            del hit
+            rare_grams = np.split(keyed[absent], np.concatenate([[0], np.cumsum(absent)])[bounds[1:-1]])
             at = index.get(np.append(w.hash, END_TOKEN))
             known = np.concatenate([[0], np.cumsum(at[:-1] >= 0)])
             part = np.concatenate([[0], np.cumsum(logs[at[:-1]])])
@@ -278,16 +335,19 @@ def score_documents(docs: DataFrame, nodes: int = 1_500_000, tokens: int = 400_0
                 [
                     batch.column("doc_id"), batch.column("held_out"), pa.array(n_tokens.astype(np.int64)), pa.array(np.diff(known[w.bounds]) + int(at[-1] >= 0)),
                     pa.array(np.diff(part[w.bounds]) + logs[at[-1]] - n_tokens * base), pa.array(sums[bounds[1:]] - sums[bounds[:-1]]), pa.array(rare, pa.list_(pa.int64())),
+                    pa.array(rare_grams, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "rare_grams"],
             )
 
-    scored = rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>")
+    scored = rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, rare_grams array<long>")
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     uncommon = words.where(_level(F.col("n")) < least).select("key", "n")
     found = scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times")).join(uncommon, "key")
     more = found.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
-    return scored.join(more, "row", "left").select(
+    unlikely = known.where(_level(F.col("times")) < often).select("key", "log10")
+    further = scored.select("row", F.explode("rare_grams").alias("key")).join(unlikely, "key").groupBy("row").agg(F.sum("log10").alias("further"))
+    return scored.join(more, "row", "left").join(further, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("further", F.lit(0.0))).alias("score"),
     )
