@@ -198,6 +198,12 @@ def test_control(spark):
     assert {r["node"] for r in control.descendants(edges, spark.createDataFrame([("b",)], "node string")).collect()} == {"a", "b", "c"}
 
 
+def test_descendants_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(70)], "parent string, child string")
+    _, revoked = control.deletion(spark.createDataFrame([("t", "n0")], "tenant_id string, sample_id string"), edges, spark.createDataFrame([("t", "n0")], "tenant_id string, sample_id string"))
+    assert sorted(r["node"] for r in revoked.collect()) == sorted(f"n{k + 1}" for k in range(70))
+
+
 def stream(spark, df, folder, run, sink="append"):
     df.write.parquet(f"file://{folder}/in")
     name = f"t{abs(hash(str(folder))) % 10**9}"

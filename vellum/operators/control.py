@@ -180,19 +180,17 @@ def accepted(base: Column, candidate: Column, regression_base: Column, regressio
     return (base - candidate >= F.lit(improvement)) & (regression - regression_base <= F.lit(ceiling))
 
 
-def descendants(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
-    """(node): all that the roots lead to, by semi-naive steps; roots only if they are reached. Cycles end."""
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node): all that the roots lead to, by semi-naive steps until none is new; roots only if they are reached. Cycles end."""
     from vellum.operators.storage import kept
 
     reached = kept(edges.join(roots.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select(F.col("child").alias("node")).distinct())
     new = reached
-    for _ in range(depth):
+    while not new.isEmpty():
         step = edges.join(new.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
         new = kept(step.join(reached, "node", "left_anti"))
-        if new.isEmpty():
-            break
-        reached = kept(reached.union(new))
-    return reached
+        reached = reached.union(new)
+    return kept(reached)
 
 
 def deletion(samples: DataFrame, edges: DataFrame, requested: DataFrame, tenant: str = "tenant_id") -> tuple[DataFrame, DataFrame]:
