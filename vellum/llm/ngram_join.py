@@ -264,22 +264,21 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return ends.join(merged.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left").select("node", F.coalesce("last", "label").alias("label"))
 
 
-def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
-    spark = docs.sparkSession
-    bounded_arrow(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows (doc_id, text, ...) without their text, with n_shingles, node and class; rows with a null doc_id are no links."""
+    bounded_arrow(rows.sparkSession)
+    own = [c for c in rows.columns if c != "text"]
     known = rows.where("doc_id IS NOT NULL")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches):
             sets = shingle_sets(data, offsets, words)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes_of(sets)), pa.array([sketch(s, percent) for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "node", "sketch"],
+                [*(batch.column(c) for c in own), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes_of(sets)), pa.array([sketch(s, percent) for s in sets], pa.list_(pa.int64()))],
+                [*own, "n_shingles", "node", "sketch"],
             )
 
-    described = materialize(rows.mapInArrow(describe, "doc_id long, n_shingles long, node long, sketch array<long>"), "sets")
+    described = materialize(rows.mapInArrow(describe, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own) + ", n_shingles long, node long, sketch array<long>"), "sets")
     shared = materialize(_shared(known, words, percent), "shared")
     nodes = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     met = shared.select("node").union(shared.select("rep")).distinct()
@@ -325,12 +324,30 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "d
         if not more.isEmpty():
             labels = materialize(_joined(labels, more), "labels")
 
-    joined = described.drop("sketch").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    return described.drop("sketch").join(labels, "node", "left").withColumn("class", F.coalesce("label", "node")).drop("label")
+
+
+def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    joined = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), words, percent)
     smallest = joined.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("smallest"))
     return joined.join(smallest, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that represent their class (its smallest doc_id); rows with a null doc_id stay."""
-    out = classes(docs, words, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__vellum_key")).distinct()
-    return docs.join(out, docs[id_col].cast("long") == out["__vellum_key"], "left_anti")
+    """One row of ``docs`` for each class: that of the smallest doc_id, then node; of a null one only where the class has no other.
+
+    A row is known by its doc_id and its text's hash, which also stands for a null doc_id. Rows without words stay.
+    """
+    names = ["__vellum_named", "__vellum_key", "__vellum_digest"]
+    key, digest = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
+    named = docs.withColumns(dict(zip(names, (key.isNotNull(), F.coalesce(key, digest), digest), strict=True)))
+    rows = named.select(F.col("__vellum_key").alias("doc_id"), F.col(text_col).alias("text"), F.col("__vellum_named").alias("named"), F.col("__vellum_digest").alias("digest"))
+    members = _grouped(rows, words, percent).where("n_shingles > 0").groupBy("class", "named", "doc_id", "node", "digest").agg(F.count("*").alias("times"))
+    members = materialize(members.withColumn("place", F.struct((~F.col("named")).alias("late"), "doc_id", "node", "digest")), "members")
+    first = members.groupBy("class").agg(F.min("place").alias("first"))
+    stays = F.col("place") == F.col("first")
+    verdicts = members.join(first, "class").where(~stays | (F.col("times") > 1)).select(*(F.col(c).alias(n) for n, c in zip(names, ("named", "doc_id", "digest"), strict=True)), stays.alias("__vellum_stays"))
+    verdicts = materialize(verdicts, "verdicts")
+    repeated = named.join(verdicts.where("__vellum_stays").select(names), names, "left_semi").dropDuplicates(names)
+    return named.join(verdicts.select(names), names, "left_anti").union(repeated).select(docs.columns)
