@@ -48,6 +48,32 @@ def test_detectors(spark):
     assert {i: found.get(i, set()) for i in range(len(CORPUS))} == {i: e for i, (_, e) in enumerate(CORPUS)}
 
 
+def test_training_copies_lose_what_any_detector_finds(spark, tmp_path):
+    """The removal of the full queries against a brute-force one with the hits listed above."""
+    from vellum.plans import queries
+
+    corpus = [(i, f"We begin here. {t}", {(n, a + 3 - (n == "spoken_contact_run"), b + 3) for n, a, b in e}) for i, (t, e) in enumerate(CORPUS, 1) if t and not any(n == "user_private_term" for n, *_ in e)]
+    spark.createDataFrame([(i, t, "en") for i, t, _ in corpus], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    removed, all_words = {}, 0  # a spoken contact's window of four words before reaches "here." as well
+    for i, text, hits in corpus:
+        words, times, sentence, at, ends = text.split(), [], [], 0, 0
+        for k, w in enumerate(words):
+            times.append((1600 + 7200 * k + 12_000 * ends, 8000 + 7200 * k + 12_000 * ends))
+            sentence.append(at)
+            at += w[-1] in ".!?"
+            ends += w[-1] in ".?!"
+        gone = {sentence[k] for _, a, b in hits for k in range(a, b)} | {sentence[k] for k in range(len(words)) if (31 * i + 17 * k) % 1000 == 0}
+        removed[i] = (len(words), len(fixed_point(times, {k for k in range(len(words)) if sentence[k] in gone}, 4000, times[-1][1] + 1600)))
+        all_words += len(words)
+    run = lambda name: queries()[name](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in run("full_removed_words")} == removed
+    total = run("full_retained_words_by_language")[0]
+    assert (total["n_words"], total["n_removed"]) == (all_words, sum(n for _, n in removed.values()))
+    assert {(r["doc_id"], r["start"], r["stop"]) for r in run("full_span_union") if r["source"] == "rules"} == {(i, a, b) for i, _, e in corpus for _, a, b in e}
+    copies = run("full_training_copies")
+    assert {r["doc_id"] for r in copies} == removed.keys() and all(r["words"] <= removed[r["doc_id"]][0] - removed[r["doc_id"]][1] for r in copies)
+
+
 def test_triggers_all_fire(spark):
     docs = spark.createDataFrame([(i, f"well {p[0]} a b c d e f g h i j k l m n o p q r s t u v w") for i, p in enumerate(rules.TRIGGERS)], "doc_id long, text string")
     hits = detect.hits(detect.transcripts(docs)).collect()

@@ -67,62 +67,115 @@ def number_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule spans and a stand-in model's (the first word of each text in English), equal ones once."""
+    """Spans of the word detectors and a stand-in model's (the first word of each text in English), equal ones once."""
+    return _span_union(spark, sf_dir, _word_hits(spark, sf_dir))
+
+
+def full_span_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the spans of all detectors."""
+    return _span_union(spark, sf_dir, _hits(spark, sf_dir))
+
+
+def _span_union(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
     docs = read(spark, sf_dir, "documents").where("lang = 'en' AND length(text) > 0")
     model = docs.select(F.col("doc_id").alias("session_id"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("stop"), F.lit("contact").alias("category"), F.lit("drop_words").alias("action"), F.lit("model").alias("source"))
-    found = detect.spans(_word_hits(spark, sf_dir), model)
+    found = detect.spans(hits, model)
     return found.select(F.col("session_id").alias("doc_id"), "start", "stop", "category", "action", "source")
 
 
-def _removal(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(words with ``removed``, cuts, bounds)"""
+def _removal(spark: SparkSession, sf_dir: str, full: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words with ``removed``, cuts, bounds); by all detectors, or by those of single words alone, which SQL can state."""
     words = kept(_words(spark, sf_dir))
     bounds = source.session_ends(words)
-    spans = _word_hits(spark, sf_dir).select("session_id", "start", "stop")
+    spans = (_hits if full else _word_hits)(spark, sf_dir).select("session_id", "start", "stop")
     dropped = kept(removal.touched_sentences(words, spans).union(removal.unusable_sentences(words)).distinct())
     marked = removal.removed_words(words, dropped, bounds)
     return marked, removal.removed_intervals(marked, dropped, bounds), bounds
 
 
-def removal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, cuts, _ = _removal(spark, sf_dir)
+def _removal_plan(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:
+    _, cuts, _ = _removal(spark, sf_dir, full)
     return cuts.select(F.col("session_id").alias("doc_id"), "start", "end")
 
 
-def removed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked, _, _ = _removal(spark, sf_dir)
+def removal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _removal_plan(spark, sf_dir, False)
+
+
+def full_removal_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _removal_plan(spark, sf_dir, True)
+
+
+def _removed_words(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:
+    marked, _, _ = _removal(spark, sf_dir, full)
     return marked.groupBy(F.col("session_id").alias("doc_id")).agg(F.count("*").alias("n_words"), F.count_if("removed").alias("n_removed"))
 
 
-def retained_words_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+def removed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _removed_words(spark, sf_dir, False)
+
+
+def full_removed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _removed_words(spark, sf_dir, True)
+
+
+def _retained_words_by_language(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:
     """How many words of each language stay once sentences with an identifier are cut."""
-    counts = removed_words(spark, sf_dir)
+    counts = _removed_words(spark, sf_dir, full)
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang")
     return counts.join(docs, "doc_id").groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n_words").alias("n_words"), F.sum("n_removed").alias("n_removed"), F.sum(F.col("n_words") - F.col("n_removed")).alias("n_retained"))
 
 
-def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+def retained_words_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retained_words_by_language(spark, sf_dir, False)
+
+
+def full_retained_words_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retained_words_by_language(spark, sf_dir, True)
+
+
+def _clips(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:
     from vellum.operators import intervals
 
-    marked, cuts, bounds = _removal(spark, sf_dir)
+    marked, cuts, bounds = _removal(spark, sf_dir, full)
     marked, retained = kept(marked), kept(intervals.complement(cuts, bounds, ["session_id"]))
     return removal.clips(marked, retained)
 
 
-def retained_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _clips(spark, sf_dir)
+def _retained_clips(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:
+    rows = _clips(spark, sf_dir, full)
     return rows.select(F.col("session_id").alias("doc_id"), F.col("clip_ix").cast("long").alias("clip_ix"), "start", "end", "word_count", F.sha2("text", 256).alias("text_sha256"), "duration_ms", "reason")
 
 
-def training_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def retained_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retained_clips(spark, sf_dir, False)
+
+
+def full_retained_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retained_clips(spark, sf_dir, True)
+
+
+def _training_copies(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:
     """The outcome per document: why it is refused, or its clips, words, length and content hash."""
     docs = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
     early = first_reason([("empty_transcript", F.size(T.words(F.col("text"))) == 0), ("language_not_validated", F.coalesce(F.col("lang") != "en", F.lit(True)))])
-    out = removal.session_results(docs.select(F.col("doc_id").alias("session_id"), early.alias("early_reason")), _clips(spark, sf_dir))
+    out = removal.session_results(docs.select(F.col("doc_id").alias("session_id"), early.alias("early_reason")), _clips(spark, sf_dir, full))
     return out.select(F.col("session_id").alias("doc_id"), "reason", "clips", "words", "duration_ms", "content_hash")
 
 
-QUERIES = (transcript_words, transcript_sentences, detector_hits, identifier_hits, number_hits, span_union, removal_plan, removed_words, retained_words_by_language, retained_clips, training_copies)
+def training_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _training_copies(spark, sf_dir, False)
+
+
+def full_training_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _training_copies(spark, sf_dir, True)
+
+
+#: The full_ queries take all detectors, which SQL can't state.
+QUERIES = (
+    transcript_words, transcript_sentences, detector_hits, identifier_hits, number_hits, span_union, removal_plan, removed_words, retained_words_by_language, retained_clips, training_copies,
+    full_span_union, full_removal_plan, full_removed_words, full_retained_words_by_language, full_retained_clips, full_training_copies,
+)
 
 _SPACES = T.SPACES
 _WORDS = rf"""
