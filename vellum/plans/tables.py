@@ -90,12 +90,22 @@ def consent_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.trainable(samples, _consents(spark, sf_dir), NOW).select("tenant_id", "sample_id")
 
 
+def full_session_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each order of each customer isn't eligible, by the consent that it stands under; some customers have none."""
+    return _eligibility(spark, sf_dir).select("o_orderkey", "reason")
+
+
 def session_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why each order of each customer isn't eligible, by the consent that it stands under."""
+    """The same for the orders that the SQL takes: those of even customers and those with even keys."""
+    return _eligibility(spark, sf_dir).where("tenant_id % 2 = 0 OR o_orderkey % 2 = 0").select("o_orderkey", "reason")
+
+
+def _eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     consents = _consents(spark, sf_dir).withColumnRenamed("withdrawn_at", "revoked_at")
+    consents = consents.withColumn("consent_id", F.when(F.col("tenant_id") % 23 != 0, F.col("consent_id")))
     sessions = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("tenant_id"), (F.lit(NOW) - F.col("o_orderkey") % 20 * 86_400).alias("started_at"), (F.col("o_orderkey") % 19 == 0).alias("opted_out"), F.when(F.col("o_orderkey") % 3 == 0, "de").otherwise("en").alias("language"))
     reason = control.consent_refusal(NOW, "2", "test", "started_at", "opted_out", "language")
-    return sessions.where("tenant_id % 2 = 0 OR o_orderkey % 2 = 0").join(consents.where("tenant_id % 23 <> 0"), "tenant_id", "left").select("o_orderkey", reason.alias("reason"))
+    return sessions.join(consents, "tenant_id", "left").select("tenant_id", "o_orderkey", reason.alias("reason"))
 
 
 def tombstone_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +230,7 @@ def speech_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    interval_merge, interval_pad_merge, interval_complement, interval_destinations, interval_overlap, rounding, usage_per_tenant, daily_volume, daily_caps, consent_semi_join, session_eligibility, tombstone_anti_join, orphan_objects,
+    interval_merge, interval_pad_merge, interval_complement, interval_destinations, interval_overlap, rounding, usage_per_tenant, daily_volume, daily_caps, consent_semi_join, session_eligibility, full_session_eligibility, tombstone_anti_join, orphan_objects,
     latest_delivery, first_receipt, retry_backoff, time_split, promotion, consent_history, lineage_closure, cascade_deletion, job_states, sequence_gaps, rate_limit, recall_tallies, word_error_rate, audio_frames, noise_floors, speech_runs,
 )
 
