@@ -9,7 +9,9 @@ rank within its task plus the pieces of that length in earlier tasks. No piece i
 another, and a length that a third of the pieces have costs no more than others.
 
 White space separates words before the vocabulary's merges apply, so each word is encoded once per
-worker and looked up afterwards.
+worker process and looked up afterwards. Where the tokenizer also lower-cases and parts letters from
+marks, pieces of words between ASCII letters and marks are looked up, in lower case. Both are tried
+out on sample texts when the tokenizer is read; one that fails has every text encoded whole.
 
 Defined cases: a null or empty text is the end id alone. A null doc_id is kept as null. Repeated rows
 are packed each on its own. An empty table gives an empty result.
@@ -22,6 +24,8 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,55 +34,90 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import bounded_arrow, materialize
-from .text import HashIndex, U, Words, chunks
+from .text import EXACT, LOWER, HashIndex, Words, chunks, mix
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SCHEMA = f"{PIECES}, sequence_id long, offset long"
 
 
+#: Letters and digits on one side, marks on the other: where words may be parted. Apostrophes lead endings, "<", "|" and ">" stand in special tokens.
+LETTER, MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+LETTER[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+MARK[list(b'!"#$%&()*+,-./:;=?@[]^_`{}~')] = True
+SAMPLES = ("Plain words, (some) IN capitals; don't -- x=1.5", "  \t wide\n\nspace\u00a0and \u00e9t\u00e9, e\u0301te\u0301. na\u00efve!?", "a_b <|x|> c++ 3,000.00% \u2014,\u2014 I'LL we're", "\u0130 \u1e9e \u4e2d\u6587\u3002abc/def")
+
+
 class WordEncoder:
-    """Token ids of whole texts, by looking up the ids of their words; at most ``most`` words are remembered."""
+    """Token ids of whole texts, by looking up the ids of their words, or pieces; at most ``most`` are remembered."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.forget()
+        self.special = bool(self.tokenizer.get_added_tokens_decoder())
+        wanted = [x.ids for x in self.tokenizer.encode_batch(list(SAMPLES), add_special_tokens=False)]
+        raw = [x.encode() for x in SAMPLES]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        for self.by in ("pieces", "words", "texts"):
+            self.forget()
+            ids, at = self.encode(data, offsets)
+            if [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == wanted:
+                break
 
     def forget(self) -> None:
-        self.index, self.starts, self.lengths, self.ids, self.used = HashIndex(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+        self.index, self.starts, self.lengths, self.ids, self.used = HashIndex(), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1 << 16, np.uint32), 0
 
     def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in words], add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], dtype=np.int64)
-        new = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(lengths.sum()))
+        lengths = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+        new = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(lengths.sum()))
         if self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * (self.used + len(new)), np.uint32)])
         self.ids[self.used : self.used + len(new)] = new
         self.index.put(keys, np.arange(len(keys)) + len(self.starts))
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
+        self.starts = np.concatenate([self.starts, (self.used + np.cumsum(lengths) - lengths).astype(np.int32)])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.used += len(new)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a buffer's documents and where each document's begin."""
+        raw = data.tobytes()
+        if self.by == "texts":
+            texts = [raw[a:b].decode(errors="replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            found = [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
         if len(self.starts) > self.most:
             self.forget()
-        w = Words(data, offsets)
-        row = self.index.get(w.hash)
+        # Where a special token may stand, words count as they are written.
+        fold = self.by == "pieces" and not (self.special and b"<|" in raw)
+        w = Words(data, offsets, LOWER if fold else EXACT, parted(data) if fold else None)
+        keys = w.hash if fold else mix(w.hash)
+        row = self.index.get(keys)
         missing = np.flatnonzero(row < 0)
         if len(missing):
-            keys, first = np.unique(w.hash[missing], return_index=True)
-            at, raw = missing[first], data.tobytes()
-            self.learn(keys, [raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
-            row = self.index.get(w.hash)
+            fresh, first = np.unique(keys[missing], return_index=True)
+            at = missing[first]
+            self.learn(fresh, [raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+            row = self.index.get(keys)
         lengths = self.lengths[row]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         ids = self.ids[np.repeat(self.starts[row] - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return ids, np.concatenate([[0], ends])[w.bounds]
 
 
+def parted(data: np.ndarray) -> np.ndarray:
+    """The places, after the first, at which an ASCII letter or digit meets a mark."""
+    letter, mark = LETTER[data], MARK[data]
+    return np.flatnonzero((letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])) + 1
+
+
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One for each worker process, whatever the number of its tasks."""
+    return WordEncoder(path)
+
+
 @dataclass
 class Plan:
     """Per length l, slots from first[l] to first[l + 1]: ranks from rank[j] on sit in sequences base[j] + i at offset[j]."""
@@ -190,10 +229,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, i
     bounded_arrow(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        known, task = encoder(tokenizer), TaskContext.get().partitionId()
         counter, end = [0] * (size + 1), np.array([end_id], dtype="<u4").tobytes()
         for batch, data, offsets in chunks(batches):
-            ids, at = encoder.encode(data, offsets)
+            ids, at = known.encode(data, offsets)
             ids, rows = ids.astype("<u4"), []
             for doc, (a, b) in zip(batch.column("doc_id").to_pylist(), zip(at[:-1].tolist(), at[1:].tolist(), strict=True), strict=True):
                 for k, start in enumerate(range(0, b - a + 1, size)):

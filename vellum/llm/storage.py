@@ -27,7 +27,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_arrow(spark: SparkSession, mebibytes: int = 16) -> None:
+def bounded_arrow(spark: SparkSession, mebibytes: int = 4) -> None:
     """Batches sent to Python workers hold at most so many MiB, whatever the rows' length."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mebibytes << 20))
 

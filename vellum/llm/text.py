@@ -43,20 +43,25 @@ EXACT, LOWER = byte_values(1), folded(byte_values(1))
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
+KEPT_POWERS = 1 << 21
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i for i < n, kept between calls."""
-    if len(_powers[0]) < n:
-        size = max(1 << 16, int(n * 1.25))
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(size, base, dtype=U)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=U)
-    return _powers[0], _powers[1]
-
-
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """BASE^i and BASE^-i for i < n; tables of up to KEPT_POWERS entries are kept between calls."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    size = n if n > KEPT_POWERS else min(KEPT_POWERS, max(1 << 16, int(n * 1.25)))
+    tables = []
+    for base in (_BASE, _INVERSE):
+        x = np.full(size, base, dtype=U)
+        x[0] = 1
+        tables.append(np.cumprod(x, out=x))
+    if size <= KEPT_POWERS:
+        _powers[:] = tables
+    return tables[0], tables[1]
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about ``limit`` bytes of text, or one longer text: (rows, bytes, offsets).
 
     A null text counts as empty.
@@ -81,11 +86,14 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 class Words:
     """The words of a buffer: start, end (bytes), hash; of document i: those from bounds[i] to bounds[i+1]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, values: np.ndarray = EXACT):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, values: np.ndarray = EXACT, parted: np.ndarray | None = None):
+        """``parted``: further places at which a word ends and another begins."""
         n = len(data)
         self.inside = ~SPACE[data]
         cut = np.zeros(n + 1, dtype=bool)
         cut[offsets] = True
+        if parted is not None:
+            cut[parted] = True
         before, after = cut.copy(), cut.copy()
         before[1:] |= ~self.inside
         after[:-1] |= ~self.inside
