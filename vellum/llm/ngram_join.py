@@ -13,8 +13,9 @@ Documents with equal sets are one node. Signatures travel as packed arrays by sl
 a task keeps one node per signature and reports the others, so a signature that very many documents
 share needs no more memory. Every reported node is checked exactly against the node with which it
 shares most signatures. Signatures that then still join several components are looked at again, twice
-against one node each, then all pairs between components (pruned by sizes and parity sketches, which
-bound the difference from below, in the join itself). No pair
+against one node each, then pairs between components (pruned by sizes and parity sketches, which
+bound the difference from below, in the join itself; a pair is passed on at the least signature that
+it shares, not at each). No pair
 within one component is ever formed, and no link between different components is lost.
 
 Defined cases: a text without words has an empty set and links with nothing; a text of fewer words
@@ -39,7 +40,9 @@ from .components import components
 from .storage import bounded_arrow, materialize, shuffle_parts
 from .text import LOWER, U, Words, chunks, grams, mix
 
-PAIRS_SEGMENT = 4_000_000
+PAIRS_SEGMENT = 1_000_000
+#: Of a node's signatures, so many tell at which one a pair is compared.
+LEAST_SIGNATURES = 16
 SALT_ROWS = 256
 
 
@@ -264,6 +267,11 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return ends.join(merged.select(F.col("node").alias("label"), F.col("label").alias("last")), "label", "left").select("node", F.coalesce("last", "label").alias("label"))
 
 
+def _least_signatures(sig: str) -> Column:
+    """The least of the signatures of a group, which are those of one document, in order."""
+    return F.slice(F.array_sort(F.collect_set(sig)), 1, LEAST_SIGNATURES)
+
+
 def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """The rows (doc_id, text, ...) without their text, with n_shingles, node and class; rows with a null doc_id are no links."""
     bounded_arrow(rows.sparkSession)
@@ -312,13 +320,16 @@ def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
         several = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
         rows = materialize(rows.join(several, "sig"), "buckets")
         members = rows.select("sig", "node")
-        rows = materialize(rows.join(nodes.select("node", "n", "sketch"), "node"), "sketched")
-        columns = ("node", "label", "n", "sketch")
+        lists = members.groupBy("node").agg(_least_signatures("sig").alias("least"))
+        rows = materialize(rows.join(nodes.select("node", "n", "sketch").join(lists, "node"), "node"), "sketched")
+        columns = ("node", "label", "n", "sketch", "least")
         a = rows.select("sig", *(F.col(c).alias(f"{c}_a") for c in columns))
         b = rows if turn == 2 else rows.groupBy("sig").agg(F.min_by(F.struct(*columns), F.xxhash64("node", F.lit(turn))).alias("r")).select("sig", "r.*")
         b = b.select(F.col("sig").alias("sig_b"), *(F.col(c).alias(f"{c}_b") for c in columns))
         once = F.col("node_a") < F.col("node_b") if turn == 2 else F.lit(True)
         possible_ = (F.col("label_a") != F.col("label_b")) & once & near(*(F.col(f"{c}_{x}") for c in ("n", "sketch") for x in "ab"), percent)
+        if turn == 2:
+            possible_ &= ~F.exists(F.array_intersect("least_a", "least_b"), lambda x: x < F.col("sig"))  # else the pair meets at that signature
         met = a.join(b, (a["sig"] == b["sig_b"]) & possible_).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
         more = materialize(_verified(materialize(met, "pairs"), sets, percent), "links")
         if not more.isEmpty():
@@ -330,7 +341,9 @@ def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
 def classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     joined = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), words, percent)
-    smallest = joined.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("smallest"))
+    joined = materialize(joined, "classes")
+    # Written, so that the join below reads two plain shuffles and a very large class can be split.
+    smallest = materialize(joined.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("smallest")), "smallest")
     return joined.join(smallest, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
@@ -345,7 +358,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     rows = named.select(F.col("__vellum_key").alias("doc_id"), F.col(text_col).alias("text"), F.col("__vellum_named").alias("named"), F.col("__vellum_digest").alias("digest"))
     members = _grouped(rows, words, percent).where("n_shingles > 0").groupBy("class", "named", "doc_id", "node", "digest").agg(F.count("*").alias("times"))
     members = materialize(members.withColumn("place", F.struct((~F.col("named")).alias("late"), "doc_id", "node", "digest")), "members")
-    first = members.groupBy("class").agg(F.min("place").alias("first"))
+    first = materialize(members.groupBy("class").agg(F.min("place").alias("first")), "first")
     stays = F.col("place") == F.col("first")
     verdicts = members.join(first, "class").where(~stays | (F.col("times") > 1)).select(*(F.col(c).alias(n) for n, c in zip(names, ("named", "doc_id", "digest"), strict=True)), stays.alias("__vellum_stays"))
     verdicts = materialize(verdicts, "verdicts")
