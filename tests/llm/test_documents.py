@@ -94,7 +94,7 @@ def test_decontamination(spark, case):
     frame = spark.createDataFrame(bench, "item_id string, text string")
     for block in (7,) if len(table) < 150 else ():
         rows_ = decontaminate.keyed(docs.select("doc_id", "text"), "doc_id", "text")
-        hit = {r[decontaminate.ID] for r in decontaminate.hits(rows_, frame.limit(6), block=block).select(decontaminate.ID).distinct().collect()}
+        hit = {r[decontaminate.ID] for r in decontaminate.hits(rows_, frame.limit(6), block=block)[0].select(decontaminate.ID).distinct().collect()}
         assert hit == {-(1 << 63) if i is None else i for i, _, n, *_ in brute.contamination(table, [tuple(r) for r in frame.limit(6).collect()]) if n}
     assert collected(decontaminate.contamination(docs, frame), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == ordered(expected)
     clean = decontaminate.clean_documents(docs, frame)
@@ -152,7 +152,7 @@ def test_ppm_is_a_distribution():
 
 def test_suffix_dedup(spark, case):
     kind, table, docs = case
-    for length, most in ((400, 8000), (24, 3)) if kind == "awkward" else ((400, 8000),):
+    for length, most in ((400, 8000), (24, 3), (24, 1), (7, 1)) if kind == "awkward" else ((400, 8000), (400, 1)):
         got = collected(suffix_dedup.digest(docs, length, most=most), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
         expected = [(i, n, r, s, brute.sha(left)) for (i, _), (n, r, s, left) in zip(table, brute.repeated_bytes([t for _, t in table], length), strict=True)]
         assert got == ordered(expected)

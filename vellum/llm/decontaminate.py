@@ -79,10 +79,11 @@ def item_windows(benchmark: DataFrame, span: int = 10, id_col: str = "item_id",
     )
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, block: int = 1_000_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Occurrences of item windows in keyed documents: key, start, length, window; with the windows' items in ``item_id``."""
+def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, block: int = 1_000_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(occurrences of item windows in keyed documents: key, start, length, window; the windows' items: length, window, item_id)."""
     h, i = F.col("h"), F.col("i")
     windows = materialize(item_windows(benchmark, span, item_id, item_text), "windows")
+    items = windows.select("length", "window", "item_id").distinct()
     long, short = windows.where(F.col("length") == span), windows.where(F.col("length") < span)
     bodies = benchmark.select(word_hashes(F.col(item_text)).alias("h")).where(F.size(h) >= span).select("h", F.posexplode(h).alias("i", "x"))
     prints = materialize(bodies.where(_kept(h, i, F.col("x"), span)).select(_at(h, i, GRAM).alias("print")).distinct(), "prints")
@@ -100,23 +101,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, block: int = 1_0
         sizes = places.join(F.broadcast(part.select("x", "length").distinct()), "x").where(i + F.col("length") <= F.size(h))
         found.append(sizes.select(ID, TEXT_HASH, i.alias("start"), "length", whole.alias("window")))
     if not found:
-        return docs.select(ID, TEXT_HASH, F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("window"), F.lit("").alias("item_id")).where(F.lit(False))
+        return docs.select(ID, TEXT_HASH, F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("window")).where(F.lit(False)), items
+    # Written before the check, so that a window which very many documents hold can be split in the join.
     spans = materialize(reduce(DataFrame.union, found).distinct(), "spans")
-    return spans.join(windows.select("length", "window", "item_id").distinct(), ["length", "window"])
+    return spans.join(materialize(windows.select("length", "window").distinct(), "known"), ["length", "window"], "left_semi"), items
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: its words, the hit ones, the items found with a digest of their list, and the verdict."""
     rows = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
-    found = materialize(hits(rows, benchmark, span, item_id=item_id, item_text=item_text), "hits")
+    found, of = hits(rows, benchmark, span, item_id=item_id, item_text=item_text)
+    found = materialize(found, "hits")
     covered = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")),
         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(s["reach"], x["start"]))).alias("n"), F.greatest(s["reach"], x["stop"]).alias("reach")),
     )["n"]
-    words = found.select(ID, TEXT_HASH, "start", "length").distinct().groupBy(ID, TEXT_HASH).agg(covered.cast("long").alias("n_hit"))
+    words = found.groupBy(ID, TEXT_HASH).agg(covered.cast("long").alias("n_hit"))
     names = F.array_sort(F.collect_set("item_id"))
-    items = found.select(ID, TEXT_HASH, "item_id").distinct().groupBy(ID, TEXT_HASH).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"))
+    # A window that a document repeats meets its items once.
+    items = found.select(ID, TEXT_HASH, "length", "window").distinct().join(of, ["length", "window"]).select(ID, TEXT_HASH, "item_id").distinct().groupBy(ID, TEXT_HASH).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"))
     n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     return (
         rows.select("doc_id", ID, TEXT_HASH, n_words.alias("n_words")).join(words, [ID, TEXT_HASH], "left").join(items, [ID, TEXT_HASH], "left")
@@ -127,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, id_col:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, span: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` without any hit."""
     rows = keyed(docs, id_col, text_col)
-    found = hits(rows, benchmark, span, text_col=text_col, item_id=item_id, item_text=item_text).select(ID, TEXT_HASH).distinct()
+    found = hits(rows, benchmark, span, text_col=text_col, item_id=item_id, item_text=item_text)[0].select(ID, TEXT_HASH).distinct()
     return rows.join(materialize(found, "contaminated"), [ID, TEXT_HASH], "left_anti").drop(ID, TEXT_HASH)
 
 

@@ -12,9 +12,8 @@ sorted into buckets without sorting all suffixes at once:
    string's identifier for h bytes and that of the offset h further name its bucket for 2h bytes, the
    refined identifiers are used for the next step, and strings alone in their bucket leave.
 
-An anchor with more than ``most`` occurrences is not refined in one task: its strings become rows
-that are grouped by hash, with partial counts where they are made. Identifiers have 64 bits and only
-compare strings of one anchor at one offset.
+An anchor with more than ``most`` occurrences is not refined in one task but by rounds of aggregates over
+all (``unique_by_rows``). Identifiers have 64 bits and only compare strings of one anchor at one offset.
 
 Defined cases: a null or empty text has nothing to remove. A null doc_id is a document like any
 other; a repeated row is a copy of the first and both go (if long enough). Other columns are not read.
@@ -23,18 +22,23 @@ other; a repeated row is a copy of the first and both go (if long enough). Other
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bounded_arrow, materialize, shuffle_parts
 from .text import EXACT, U, chunks, mix, powers
 
 SHIFT = 16
+#: Strings of whole anchors are sorted together up to so many bytes.
+RUN_BYTES = 1 << 20
+#: The bits of a position in a buffer; a hash is ordered by the others, whatever the buffer.
+POSITION = U((1 << 32) - 1)
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -66,9 +70,8 @@ def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(document, position in it, hash, first and last start of its strings, as distances back) of each anchor."""
     hashes = Grams(data).all(gram)
-    bits = max(1, len(data).bit_length())
-    least = sliding_least(hashes >> U(bits) << U(bits) | np.arange(len(hashes), dtype=U), length - gram + 1)
-    at = (least & U((1 << bits) - 1)).astype(np.int64)
+    least = sliding_least(hashes & ~POSITION | np.arange(len(hashes), dtype=U), length - gram + 1)  # equal hashes: the first, in equal strings at equal places
+    at = (least & POSITION).astype(np.int64)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
     starts = np.flatnonzero(np.arange(len(at)) + length <= offsets[doc + 1])
     at, doc = at[starts], doc[starts]
@@ -81,10 +84,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 def refine(data: np.ndarray, bases: np.ndarray, counts: np.ndarray, salts: np.ndarray, back: np.ndarray, length: int) -> np.ndarray:
     """Which strings (``counts[i]`` consecutive starts from ``bases[i]`` on, ``back[i]`` before their anchor) occur twice."""
     total = int(counts.sum())
-    step = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    where = np.repeat(bases, counts) + step
-    salt = mix(np.repeat(salts, counts) + (np.repeat(back, counts) - step).astype(U))
-    out, active = np.zeros(total, dtype=bool), np.arange(total)
+    step = np.arange(total, dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
+    where = np.repeat(bases.astype(np.int32), counts) + step
+    salt = mix(np.repeat(salts, counts) + (np.repeat(back.astype(np.int32), counts) - step).astype(U))
+    del step
+    out, active = np.zeros(total, dtype=bool), np.arange(total, dtype=np.int32)
     h = max(1, length >> 3)
     pointer = Grams(data).all(h)
     while len(active):
@@ -103,6 +107,58 @@ def refine(data: np.ndarray, bases: np.ndarray, counts: np.ndarray, salts: np.nd
     return out
 
 
+def unique_by_rows(found: DataFrame, length: int, gram: int) -> DataFrame:
+    """(a, b, lo, hi): which starts of anchors with any number of occurrences occur once.
+
+    The starts of an occurrence, by their distance to the anchor, are one range at first. Ranges with
+    equal bytes are repeated as a whole. Of the others those are cut by blocks of distances, finer from
+    round to round, whose block's core - the bytes that all strings of the block span - occurs again; the
+    rest is unique. Of repeated ranges one goes on as a witness where others are still open. So a passage
+    costs a row an occurrence, and its edges a few, not a row for each string; no group is gathered.
+    """
+    state = found.select("hash", "a", "b", "p", (F.col("p") - F.col("hi")).alias("near"), (F.col("p") - F.col("lo")).alias("far"), "body", F.lit(1).alias("weight"))
+    block, unique = 1 << 2 * -(-max(1, (length - gram).bit_length()) // 2), []
+    cut = state.withColumns({"block": F.lit(0).cast("long"), "core": F.lit(0).cast("long")})
+    while True:
+        one = F.max(F.struct("a", "b", "p", "body")).alias("one")
+        wholes = materialize(cut.withColumn("whole", F.xxhash64("body")).groupBy("hash", "block", "core", "near", "far", "whole").agg(F.sum("weight").alias("times"), one), "wholes")
+        cores = materialize(wholes.groupBy("hash", "block", "core").agg(F.sum("times").alias("total"), F.count_if(F.col("times") == 1).alias("open")).where("open > 0 AND total > 1"), "cores")
+        last = block == 1  # a block of one string: its core is the string
+        alone = wholes.where("times = 1")
+        alone = alone if last else alone.join(cores.select("hash", "block", "core"), ["hash", "block", "core"], "left_anti")
+        unique.append(alone.select("one.a", "one.b", (F.col("one.p") - F.col("far")).alias("lo"), (F.col("one.p") - F.col("near")).alias("hi")))
+        if last:
+            break
+        # The open ones, and one of each repeated whole.
+        left = wholes.join(cores, ["hash", "block", "core"])
+        state = materialize(left.select("hash", "one.a", "one.b", "one.p", "near", "far", "one.body", F.least("times", F.lit(2)).cast("int").alias("weight")), "state")
+        if state.isEmpty():
+            break
+        block //= 4
+        at = F.col("block") * block
+        pieces = state.withColumn("block", F.explode(F.sequence(F.floor(F.col("near") / block), F.floor(F.col("far") / block))))
+        low, high = F.greatest("near", at), F.least("far", at + (block - 1))
+        cut = pieces.select(
+            "hash", "a", "b", "p", low.alias("near"), high.alias("far"), F.substring("body", (F.col("far") - high + 1).cast("int"), (high - low + length).cast("int")).alias("body"), "weight", "block",
+            F.xxhash64(F.substring("body", (F.col("far") - at + 1).cast("int"), F.lit(max(0, length - block + 1)))).alias("core"),
+        )
+    return reduce(DataFrame.union, unique)
+
+
+def less(ranges: list[tuple[int, int]], but: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The (first, last) ranges, of which no two overlap, without those of ``but``, each of which lies in one."""
+    out, but = [], sorted(but)
+    k = 0
+    for lo, hi in sorted(ranges):
+        while k < len(but) and but[k][0] <= hi:
+            if but[k][0] > lo:
+                out.append((lo, but[k][0] - 1))
+            lo, k = but[k][1] + 1, k + 1
+        if lo <= hi:
+            out.append((lo, hi))
+    return out
+
+
 def removed_spans(ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal byte spans covered by strings whose starts are in the given (first, last) ranges."""
     out: list[tuple[int, int]] = []
@@ -114,8 +170,8 @@ def removed_spans(ranges: list[tuple[int, int]], length: int) -> list[tuple[int,
     return out
 
 
-def spans(docs: DataFrame, length: int = 400, gram: int | None = None, most: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with text key, distinct texts, texts with their repeated ranges)."""
+def spans(docs: DataFrame, length: int = 400, gram: int | None = None, most: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with text key, distinct texts, texts with ranges of starts: repeated ones, and unique ones to take out of them)."""
     spark = docs.sparkSession
     bounded_arrow(spark)
     gram = gram or max(1, length * 8 // 25)
@@ -152,13 +208,15 @@ def spans(docs: DataFrame, length: int = 400, gram: int | None = None, most: int
             which = np.repeat(np.arange(len(raw)), np.diff(ends))
             p, back = fields["p"][at], fields["back"][at]
             lo, hi = p - (back >> SHIFT), p - (back & ((1 << SHIFT) - 1))
-            bodies = [raw[i][x : y + length] for i, x, y in zip(which.tolist(), lo.tolist(), hi.tolist(), strict=True)]
             a, b = (batch.column(x).to_numpy()[which] for x in "ab")
-            for k in range(0, len(bodies), 20_000):
-                part = slice(k, k + 20_000)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in (fields["hash"][at], fields["n"][at], a, b, lo, hi, p)), pa.array(bodies[part], pa.binary())], ["hash", "n", "a", "b", "lo", "hi", "p", "body"])
+            for k in range(0, len(which), 5000):
+                part = slice(k, k + 5000)
+                bodies = [raw[i][x : y + length] for i, x, y in zip(which[part].tolist(), lo[part].tolist(), hi[part].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[part]) for x in (fields["hash"][at], fields["n"][at], a, b, lo, hi, p)), pa.array(bodies, pa.binary())], ["hash", "n", "a", "b", "lo", "hi", "p", "body"])
 
-    strings = held.mapInArrow(extract, "hash long, n long, a long, b long, lo long, hi long, p long, body binary")
+    def strings(wanted: Callable[[Column], Column]) -> DataFrame:
+        chosen = held.withColumn("anchors", F.filter("anchors", lambda x: wanted(x["n"]))).where(F.size("anchors") > 0)
+        return chosen.mapInArrow(extract, "hash long, n long, a long, b long, lo long, hi long, p long, body binary")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -184,7 +242,7 @@ def spans(docs: DataFrame, length: int = 400, gram: int | None = None, most: int
             keys = batch.column("hash").to_numpy()
             at = 0
             for cut in [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]:
-                if size > 2 << 20 and held and held[-1].column("hash")[-1].as_py() != int(keys[at]):
+                if size > RUN_BYTES and held and held[-1].column("hash")[-1].as_py() != int(keys[at]):
                     yield run(pa.Table.from_batches(held))
                     held, size = [], 0
                 held.append(batch.slice(at, cut - at))
@@ -194,24 +252,14 @@ def spans(docs: DataFrame, length: int = 400, gram: int | None = None, most: int
             yield run(pa.Table.from_batches(held))
 
     parts = shuffle_parts(spark)
-    usual = strings.where(F.col("n") <= most).repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(sort, "a long, b long, lo long, hi long")
-
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, a, b, lo, hi, p, body in zip(*(batch.column(x).to_pylist() for x in ("hash", "a", "b", "lo", "hi", "p", "body")), strict=True):
-                n = hi - lo + 1
-                whole = Grams(np.frombuffer(body, dtype=np.uint8)).all(length)
-                salt = mix((p - lo - np.arange(n)).astype(U) + np.full(n, key, dtype=np.int64).view(U))
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(salt.view(np.int64)), pa.array(np.full(n, a)), pa.array(np.full(n, b)), pa.array(lo + np.arange(n))], ["string", "salt", "a", "b", "lo"])
-
-    hot = materialize(strings.where(F.col("n") > most).mapInArrow(rows_of, "string long, salt long, a long, b long, lo long"), "hot")
-    twice = hot.groupBy("string", "salt").agg(F.count("*").alias("times")).where("times > 1")
-    rest = hot.join(twice, ["string", "salt"]).select("a", "b", "lo", F.col("lo").alias("hi"))
-    ranges = usual.union(rest).groupBy("a", "b").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    usual = strings(lambda n: n <= most).repartition(parts, "hash").sortWithinPartitions("hash").mapInArrow(sort, "a long, b long, lo long, hi long")
+    hot = strings(lambda n: n > most)
+    rest = hot.select("a", "b", "lo", "hi", F.lit(True).alias("twice")).union(unique_by_rows(hot, length, gram).withColumn("twice", F.lit(False)))
+    ranges = usual.withColumn("twice", F.lit(True)).union(rest).groupBy("a", "b").agg(F.collect_list(F.struct("lo", "hi", "twice")).alias("ranges"))
     return rows, texts, held.select("a", "b", "text").join(ranges, ["a", "b"])
 
 
-def digest(docs: DataFrame, length: int = 400, gram: int | None = None, most: int = 8000) -> DataFrame:
+def digest(docs: DataFrame, length: int = 400, gram: int | None = None, most: int = 2000) -> DataFrame:
     """Per document: its bytes, those removed, in how many runs, and the SHA-256 of the rest."""
     rows, texts, found = spans(docs, length, gram, most)
 
@@ -219,7 +267,7 @@ def digest(docs: DataFrame, length: int = 400, gram: int | None = None, most: in
         for batch in batches:
             out = []
             for raw, ranges in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                gone = removed_spans([(x["lo"], x["hi"]) for x in ranges], length)
+                gone = removed_spans(less([(x["lo"], x["hi"]) for x in ranges if x["twice"]], [(x["lo"], x["hi"]) for x in ranges if not x["twice"]]), length)
                 edges = [0, *(x for s in gone for x in s), len(raw)]
                 left = b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
                 out.append((len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest()))
