@@ -50,7 +50,7 @@ SAMPLES = ("Plain words, (some) IN capitals; don't -- x=1.5", "  \t wide\n\nspac
 class WordEncoder:
     """Token ids of whole texts, by looking up the ids of their words, or pieces; at most ``most`` are remembered."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -81,6 +81,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, "right")) - 1)
             yield batch.slice(row, to - row), data[ends[row] : ends[to]], ends[row : to + 1] - ends[row]
             row = to
+    pa.default_memory_pool().release_unused()  # a worker goes on to other tasks
 
 
 class Words:
