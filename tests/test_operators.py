@@ -8,11 +8,12 @@ import tarfile
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vellum.functions import numbers
 from vellum.functions import text as T
-from vellum.operators import control, detect, evaluate, intervals, records, removal, rules
+from vellum.operators import control, detect, evaluate, intervals, recognised, records, removal, rules, splice
 from vellum.sources import transcripts as source
 from vellum.streaming import captions
 
@@ -296,3 +297,40 @@ def test_event_permissions(spark):
     clients = spark.createDataFrame([("a", ["status:read"], None), ("b", ["transcript:live", "transcript:final"], ["transcript.final", "error"]), ("c", [], None)], "client_id string, scopes array<string>, wanted array<string>")
     got = {(r["client_id"], r["kind"]) for r in control.permitted(events, clients).collect()}
     assert got == {("a", k) for k, s in control.EVENT_SCOPES.items() if s == "status:read"} | {("b", "transcript.final")}
+
+
+def test_time_split_of_a_wide_table(spark):
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("tenant"), F.pmod(F.xxhash64("id"), F.lit(1_000_000)).alias("at"), "id", F.repeat(F.lit("x"), 50).alias("wide"))
+    split = control.time_split(rows, "tenant", ["at", "id"])
+    whole = rows.withColumn("r", F.row_number().over(Window.partitionBy("tenant").orderBy("at", "id")))
+    assert split.columns == [*rows.columns, "held_out"]
+    assert split.join(whole.select("id", "r"), "id").where((F.col("r") > 16_000) != F.col("held_out")).count() == 0
+
+
+def test_caps_count_what_was_accepted_before(spark):
+    asks = spark.createDataFrame(
+        [(1, 1, "a", 50, 0, 0, 9, 100), (1, 2, "b", 60, 0, 0, 9, 100), (1, 3, "c", 50, 0, 0, 9, 100), (1, 4, "d", 1, 0, 0, 9, 100), (2, 1, "e", 5, 1, 5, 2, 100), (2, 2, "f", 5, 1, 5, 2, 100)],
+        "tenant_id long, at long, key string, bytes long, n long, b long, max_samples long, max_bytes long",
+    )
+    assert sorted(r["key"] for r in control.over_cap(asks).collect()) == ["b", "d", "f"]
+
+
+def test_spliced_clips_that_break_an_invariant(spark):
+    clips = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 20, 30), (2, 0, 0, 10), (2, 1, 5, 12), (3, 0, 0, 10), (4, 0, 0, 10), (5, 0, 7, 7)], "session_id long, clip_ix long, start long, end long")
+    removed = spark.createDataFrame([(1, 10, 20), (3, 9, 15)], "session_id long, start long, end long")
+    words = spark.createDataFrame([(1, 1, 20, 25), (4, 0, 5, 11)], "session_id long, clip_ix long, start long, end long")
+    assert {r["session_id"]: r["problem"] for r in splice.broken_sessions(words, clips, removed).collect()} == {2: "clips_overlap", 3: "removed_audio_kept", 4: "word_outside_clip", 5: "empty_clip"}
+
+
+def test_windows_and_prompts(spark):
+    words = spark.range(200).select(F.lit(1).cast("long").alias("session_id"), F.col("id").alias("word_id"), F.concat(F.lit("w"), "id").alias("text"))
+    windows = spark.createDataFrame([(1, 0, 0, 70), (1, 1, 60, 130)], "session_id long, window_ix long, first_word long, stop_word long")
+    found = recognised.prompts(words, windows).orderBy("window_ix").collect()
+    assert [(r["first_id"], r["last_id"]) for r in found] == [(0, 69), (60, 129)]
+    assert found[1]["prompt"].split("\n")[:2] == ["60:w60", "61:w61"]
+    assert sorted(r["word_id"] for r in recognised.uncovered_words(words, windows).collect()) == list(range(130, 200))
+
+
+def test_low_pass_weights():
+    weights = splice.low_pass_weights(48_000, 16_000)
+    assert len(weights) == 63 and abs(sum(weights) - 1) < 1e-9 and weights == pytest.approx(weights[::-1])

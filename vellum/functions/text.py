@@ -42,15 +42,17 @@ def joined(tokens: Column) -> Column:
     return F.regexp_replace(F.array_join(tokens, " "), r" ([,.!?;:])", "$1")
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Word-level edit distance of two arrays of words.
+def word_distance(a: Column, b: Column, both: Column | None = None) -> Column:
+    """Word-level edit distance of two arrays of words; ``both``, their distinct words, had better be a column, as each word looks at it.
 
     Each distinct word of the pair becomes one character; the built-in character distance does the
-    rest. More than 50,000 distinct words in one pair are an error.
+    rest. For a pair with more than a million distinct words, too many for characters, null.
     """
-    both = F.array_distinct(F.concat(a, b))
-    coded = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, lambda w: F.lpad(F.hex(F.array_position(both, w) + 0x0FFF), 4, "0")), "")), "UTF-16BE")
-    return F.when(F.size(both) > 50_000, F.raise_error(F.lit("too many distinct words in a pair"))).otherwise(F.levenshtein(coded(a), coded(b)))
+    both = F.array_distinct(F.concat(a, b)) if both is None else both
+    place = lambda w: F.array_position(both, w) + 0x0FFF
+    one = lambda w: F.when(place(w) < 0xD800, place(w)).otherwise(place(w) + 0x0800)  # noqa: E731  0xD800 to 0xDFFF are no characters
+    coded = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, lambda w: F.lpad(F.hex(one(w)), 8, "0")), "")), "UTF-32")
+    return F.when(F.size(both) <= 1_000_000, F.levenshtein(coded(a), coded(b)))
 
 
 def luhn(number: Column) -> Column:

@@ -7,9 +7,10 @@ the shuffle, or by windows over tables that were reduced first.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -163,9 +164,12 @@ def time_split(rows: DataFrame, tenant: str, order: Sequence[str], fraction: flo
     The rows' places are found without sorting a tenant in one task: a range split of the whole table,
     places within each part, and the counts of earlier parts.
     """
+    from vellum.operators.storage import kept
+
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(parts, tenant, *order).withColumn("__part", F.spark_partition_id())
+    # Written: the bounds of a range split are sampled, and both uses below must see the same parts.
+    dealt = kept(rows.repartitionByRange(parts, tenant, *order).withColumn("__part", F.spark_partition_id()))
     within = Window.partitionBy("__part", tenant).orderBy(*order)
     ranked = dealt.withColumn("__at", F.row_number().over(within))
     sizes = ranked.groupBy(tenant, "__part").agg(F.count("*").alias("__n"))
@@ -212,15 +216,124 @@ def upload_outcome(now: int) -> Column:
     )
 
 
+def over_cap(asks: DataFrame) -> DataFrame:
+    """The requests (tenant_id, at, key, bytes, n, b, max_samples, max_bytes) that their tenant's caps refuse, read in order of (at, key).
+
+    n and b are what the tenant had before. What is refused takes up nothing, so each answer hangs on those
+    before it; a task keeps two numbers for the tenant that it reads.
+    """
+    parts = max(1, int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tenant, n, b = None, 0, 0
+        for frame in frames:
+            refused = []
+            for who, size, had_n, had_b, most_n, most_b in zip(*(frame[c] for c in ("tenant_id", "bytes", "n", "b", "max_samples", "max_bytes")), strict=True):
+                if who != tenant:
+                    tenant, n, b = who, had_n, had_b
+                no = n >= most_n or b + size > most_b
+                refused.append(no)
+                if not no:
+                    n, b = n + 1, b + size
+            yield frame[refused]
+
+    return asks.repartition(parts, "tenant_id").sortWithinPartitions("tenant_id", "at", "key").mapInPandas(fold, asks.schema)
+
+
+def paused(consents: DataFrame, requests: DataFrame) -> DataFrame:
+    """``consents`` after requests (consent_id, pause), one each, to pause or go on; those revoked stay as they are."""
+    r = requests.select("consent_id", F.col("pause").alias("__pause"))
+    return consents.join(r, "consent_id", "left").withColumn("paused", F.when(F.col("revoked_at").isNull(), F.coalesce("__pause", "paused")).otherwise(F.col("paused"))).drop("__pause")
+
+
+def withdrawn(consents: DataFrame, jobs: DataFrame, samples: DataFrame, requests: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(consents, jobs, samples to delete) after withdrawals (tenant_id, consent_id): the first one's time stands, open jobs under the consent end, its samples go."""
+    key = ["tenant_id", "consent_id"]
+    asked = requests.select(*key).distinct().withColumn("__asked", F.lit(True))
+    marked = consents.join(asked, key, "left").withColumn("withdrawn_at", F.when(F.col("__asked"), F.coalesce("withdrawn_at", F.lit(now))).otherwise(F.col("withdrawn_at"))).drop("__asked")
+    open_ = F.coalesce("__asked", F.lit(False)) & ~F.col("state").isin(*TERMINAL)
+    ended = jobs.join(asked, key, "left").withColumns({"reason": F.when(open_, "consent_withdrawn").otherwise(F.col("reason")), "state": F.when(open_, "deleted").otherwise(F.col("state"))}).drop("__asked")
+    return marked, ended, samples.join(asked, key, "left_semi")
+
+
+def finished(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """(job_id, state, reason, finished_at): a job is finished once, by its first result (job_id, state, reason, at)."""
+    first = first_wins(results.select("job_id", "at", F.col("state").alias("__s"), F.col("reason").alias("__r")), ["job_id"], ["at", "__s", "__r"]).drop("duplicates")
+    free = F.col("finished_at").isNull() & F.col("at").isNotNull()
+    take = lambda new, old: F.when(free, F.col(new)).otherwise(F.col(old)).alias(old)
+    return jobs.join(first, "job_id", "left").select("job_id", take("__s", "state"), take("__r", "reason"), take("at", "finished_at"))
+
+
+def installs(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """(key, active, previous) after installs and rollbacks (kind, artifact) in order: a rollback goes back one step, and a second one before the next install leaves nothing."""
+    w = Window.partitionBy(key).orderBy(*order)
+    put = F.col("kind") == "install"
+    rows = events.withColumn("__n", F.sum(put.cast("int")).over(w))
+    # Of each install, how many rollbacks follow before the next.
+    each = rows.groupBy(key, "__n").agg(F.max(F.when(put, F.col("artifact"))).alias("artifact"), F.sum((~put).cast("int")).alias("__back")).where("__n > 0")
+    start = F.struct(F.lit(None).cast("string").alias("active"), F.lit(None).cast("string").alias("previous"))
+
+    def step(s: Column, x: Column) -> Column:
+        active = F.when(x["__back"] == 0, x["artifact"]).when(x["__back"] == 1, s["active"])
+        return F.struct(active.alias("active"), F.when(x["__back"] == 0, s["active"]).alias("previous"))
+
+    listed = F.array_sort(F.collect_list(F.struct("__n", F.col("artifact").cast("string").alias("artifact"), "__back")))
+    return each.groupBy(key).agg(F.aggregate(listed, start, step).alias("s")).select(key, "s.*")
+
+
+def delivery_reason(installed: str, budget: int, form: str) -> Column:
+    """Why a delivered model isn't taken, from columns signed (checked elsewhere), base, format, memory, accepted, sha256, version."""
+    bad = lambda c: F.coalesce(c, F.lit(True))
+    return first_reason([
+        ("bad_signature", bad(~F.col("signed"))), ("incompatible_base", bad(F.col("base") != installed)), ("unsupported_format", bad(F.col("format") != form)), ("exceeds_device_budget", bad(F.col("memory") > budget)),
+        ("evaluation_not_accepted", bad(~F.col("accepted"))), ("malformed_manifest", bad((F.length("sha256") != 64) | ~F.col("version").rlike("^[A-Za-z0-9-]{1,64}$"))),
+    ])
+
+
+def lineage_added(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with new ones (node, kind, parents); a node or edge that is there stays as it is, of equal new nodes the least kind counts."""
+    fresh = absent(new.groupBy("node").agg(F.min("kind").alias("kind")), nodes, ["node"])
+    links = new.select(F.explode("parents").alias("parent"), F.col("node").alias("child")).distinct()
+    return nodes.select("node", "kind").union(fresh), edges.select("parent", "child").union(absent(links, edges, ["parent", "child"]))
+
+
+def routed(requests: DataFrame) -> DataFrame:
+    """Deletion requests (scope, ...) with ``route`` and ``target``: all, a sample, a receipt, or unknown."""
+    kind, rest = F.substring_index("scope", ":", 1), F.when(F.instr("scope", ":") > 0, F.expr("substring(scope, instr(scope, ':') + 1)"))
+    known = kind.isin("sample", "receipt") & (rest != "")
+    return requests.withColumns({"route": F.when(F.col("scope") == "everything", "everything").when(F.coalesce(known, F.lit(False)), kind).otherwise("unknown"), "target": F.when(F.coalesce(known, F.lit(False)), rest)})
+
+
+def oldest_pending(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The pending job that has waited longest, of all or for each key."""
+    rest = [c for c in jobs.columns if c not in ("created_at", "job_id", *by)]
+    picked = jobs.where("state = 'local_pending'").groupBy(*by).agg(F.min(F.struct("created_at", "job_id", *rest)).alias("j")).where("j IS NOT NULL")
+    return picked.select(*by, "j.*")
+
+
+def token_hash(token: Column, domain: str = "token") -> Column:
+    """SHA-256 of the token after its domain and a NUL."""
+    return F.sha2(F.concat(F.lit(domain), F.char(F.lit(0)), token), 256)
+
+
+def authenticated(requests: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Requests (token, ...) with the tenant that has the token's hash and isn't disabled."""
+    known = tenants.where("NOT disabled").select("tenant_id", F.col("token_hash").alias("__hash"))
+    return requests.join(known, token_hash(F.col("token")) == F.col("__hash")).drop("__hash", "token")
+
+
 def admissions(requests: DataFrame, receipts: DataFrame, consents: DataFrame, tombstones: DataFrame, samples: DataFrame, limits: DataFrame, now: int, most_bytes: int = 64 << 20) -> DataFrame:
     """(tenant_id, key, sample_id, accepted, reason, duplicate) for each request of a batch.
 
     ``requests``: tenant_id, key, at, declared_sha256, archive_sha256, bytes, package_reason, sample_id,
     consent_id. A key answered before (in ``receipts``: tenant_id, key, accepted, reason) gets that answer
     again; of equal keys in the batch the first counts, and of equal samples the first. ``limits`` has
-    tenant_id, max_samples, max_bytes, held against what the tenant had before the batch.
+    tenant_id, max_samples, max_bytes, held against what the tenant had before the batch and what was
+    accepted earlier in it, in order of (at, key); a refused request takes up nothing. Tenants whose requests
+    fit all together need no order; the others' are read once in order, a few numbers a row.
     """
     from vellum.functions.text import IDEMPOTENCY_KEY
+    from vellum.operators.storage import kept
 
     flag = lambda df, key, name: df.select(*key).distinct().withColumn(name, F.lit(True))
     active = consents.where(F.col("withdrawn_at").isNull() & (F.col("expires_at") > now))
@@ -238,14 +351,19 @@ def admissions(requests: DataFrame, receipts: DataFrame, consents: DataFrame, to
     package = F.when(F.col("package_reason").isNotNull(), F.concat(F.lit("invalid_package:"), "package_reason"))
     stored = first_reason([
         ("consent_not_active", F.col("__consent").isNull()), ("sample_previously_deleted", F.col("__gone").isNotNull()), ("sample_id_conflict", F.col("__there").isNotNull()),
-        ("tenant_storage_cap_reached", (none("__n") >= F.col("max_samples")) | (none("__b") + F.col("bytes") > F.col("max_bytes"))),
     ])
     rows = rows.withColumn("__why", F.coalesce(refusal, package, stored)).withColumn("__again", F.coalesce(F.col("at") != F.col("__first"), F.lit(False)))
     fresh = F.col("__why").isNull() & ~F.col("__again") & F.col("__old").isNull()
     mine = rows.where(fresh).groupBy("sample_id").agg(F.min(F.struct("at", "tenant_id", "key")).alias("__m")).select(F.col("sample_id").alias("__s"), "__m")
     rows = rows.join(mine, rows["sample_id"] == mine["__s"], "left")
     conflict = fresh & (F.struct("at", "tenant_id", "key") != F.col("__m"))
-    own = F.when(conflict, "sample_id_conflict").otherwise(F.col("__why"))
+    rows = kept(rows.withColumn("__own", F.when(conflict, "sample_id_conflict").otherwise(F.col("__why"))).withColumn("__open", fresh & ~conflict).drop("__m", "__s"))
+    asks = rows.where(F.col("__open") & F.col("max_samples").isNotNull()).select("tenant_id", "at", "key", F.col("bytes").cast("long").alias("bytes"), none("__n").cast("long").alias("n"), none("__b").cast("long").alias("b"), F.col("max_samples").cast("long").alias("max_samples"), F.col("max_bytes").cast("long").alias("max_bytes"))
+    sums = asks.groupBy("tenant_id").agg((F.max("n") + F.count("*") > F.max("max_samples")).alias("__many"), (F.max("b") + F.sum("bytes") > F.max("max_bytes")).alias("__large"))
+    tight = asks.join(sums.where("__many OR __large").select("tenant_id"), "tenant_id", "left_semi")
+    over = over_cap(tight).select("tenant_id", "key", F.lit(True).alias("__over"))
+    rows = rows.join(over, ["tenant_id", "key"], "left")
+    own = F.when(F.col("__open") & F.col("__over"), "tenant_storage_cap_reached").otherwise(F.col("__own"))
     answers = rows.select("tenant_id", "key", "at", "sample_id", "__old", "__again", F.when(F.col("__old"), F.col("__reason")).otherwise(own).alias("reason"), F.when(F.col("__old"), F.col("__accepted")).otherwise(own.isNull()).alias("accepted"))
     heads = answers.where("NOT __again").select("tenant_id", "key", F.col("reason").alias("__r"), F.col("accepted").alias("__a"))
     out = answers.join(heads, ["tenant_id", "key"], "left")

@@ -49,8 +49,10 @@ def over_redaction(sessions: DataFrame) -> DataFrame:
 
 def word_errors(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """``pairs`` with edits and n_reference, over words in spoken form."""
-    a, b = T.spoken_words(F.col(reference)), T.spoken_words(F.col(hypothesis))
-    return pairs.withColumns({"edits": T.word_distance(a, b), "n_reference": F.size(a)})
+    # As columns of their own, so that they are worked out once and not for each word.
+    rows = pairs.withColumns({"__a": T.spoken_words(F.col(reference)), "__b": T.spoken_words(F.col(hypothesis))})
+    rows = rows.withColumn("__both", F.array_distinct(F.concat("__a", "__b")))
+    return rows.withColumns({"edits": T.word_distance(F.col("__a"), F.col("__b"), F.col("__both")), "n_reference": F.size("__a")}).drop("__a", "__b", "__both")
 
 
 def word_error_rate(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", by: Sequence[str] = ()) -> DataFrame:

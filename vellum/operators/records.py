@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Sequence
 
 import pandas as pd
@@ -26,6 +27,7 @@ FORBIDDEN_KEYS = (
     "window_title", "foreground_app", "prompt", "system_prompt", "spans", "removed", "removal_map", "boundary_manifest", "source_start", "source_end", "source_interval", "original_text", "full_transcript",
     "latitude", "longitude", "location", "ip", "ip_address", "created_at",
 )
+#: Text fields of a manifest, categories and actions of an answer.
 STRINGS = ("asr_model", "asr_model_revision", "privacy_model", "privacy_model_revision", "policy_version", "consent_version", "consent_reference")
 CATEGORIES = (
     "direct_identifier", "contact", "address", "account_identifier", "government_id", "financial", "credential_secret", "health", "political_religious", "sexuality", "customer_confidential", "user_defined", "sensitive_narrative",
@@ -47,9 +49,9 @@ def forbidden_key(records: pd.Series) -> pd.Series:
     """The first forbidden key found anywhere in a record, whatever its case; null if none or not JSON."""
 
     def find(x: object) -> str | None:
-        todo = [x]
+        todo = deque([x])
         while todo:
-            x = todo.pop(0)
+            x = todo.popleft()
             if isinstance(x, dict):
                 for k in x:
                     if k.lower() in FORBIDDEN_KEYS:

@@ -27,26 +27,22 @@ def floors(frames: DataFrame) -> DataFrame:
     return frames.groupBy("session_id").agg(ordered.alias("l")).select("session_id", F.element_at("l", F.greatest(F.lit(1), F.floor(F.size("l") / 5)).cast("int")).alias("floor"))
 
 
-def speaking(loud: Column, open_frames: int = OPEN, close_frames: int = CLOSE) -> Column:
-    """Flags of frames from their loudness in order: opens after some loud frames, closes after some quiet ones."""
-    start = F.struct(F.lit(False).alias("on"), F.lit(0).alias("run"), F.array().cast("array<boolean>").alias("flags"))
-
-    def step(s: Column, x: Column) -> Column:
-        run = F.when(s["on"], F.when(x, 0).otherwise(s["run"] + 1)).otherwise(F.when(x, s["run"] + 1).otherwise(0))
-        turns = F.when(s["on"], run >= close_frames).otherwise(run >= open_frames)
-        on = F.when(turns, ~s["on"]).otherwise(s["on"])
-        return F.struct(on.alias("on"), F.when(turns, 0).otherwise(run).alias("run"), F.array_append(s["flags"], on).alias("flags"))
-
-    return F.aggregate(loud, start, step, lambda s: s["flags"])
+def speaking(frames: DataFrame, open_frames: int = OPEN, close_frames: int = CLOSE) -> DataFrame:
+    """Frames (session_id, frame_ix, loud) with ``speech``: on from the frame that makes a run of loud ones long enough, off from one that does so for quiet ones."""
+    w = Window.partitionBy("session_id").orderBy("frame_ix")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = frames.withColumn("__n", F.row_number().over(w))
+    since = lambda loud: F.col("__n") - F.coalesce(F.max(F.when(F.col("loud") != F.lit(loud), F.col("__n"))).over(so_far), F.lit(0))
+    turn = F.when(since(True) >= open_frames, True).when(since(False) >= close_frames, False)
+    rows = rows.withColumn("__turn", turn)
+    return rows.withColumn("speech", F.coalesce(F.last("__turn", ignorenulls=True).over(so_far), F.lit(False))).drop("__n", "__turn")
 
 
 def activity(frames: DataFrame, over: float = OVER_FLOOR_DB, least: float = LEAST_DB) -> DataFrame:
     """(session_id, frame_ix, size, speech) per frame."""
     threshold = F.greatest(F.col("floor") + F.lit(over).cast("float"), F.lit(least).cast("float"))
     rows = frames.join(floors(frames), "session_id").withColumn("loud", F.col("level") >= threshold)
-    folded = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("frame_ix", "size", "loud"))).alias("f"))
-    flags = speaking(F.transform("f", lambda x: x["loud"]))
-    return folded.select("session_id", F.explode(F.arrays_zip(F.col("f.frame_ix").alias("frame_ix"), F.col("f.size").alias("size"), flags.alias("speech"))).alias("z")).select("session_id", "z.*")
+    return speaking(rows).select("session_id", "frame_ix", "size", "speech")
 
 
 def speech_intervals(active: DataFrame, frame: int = FRAME) -> DataFrame:

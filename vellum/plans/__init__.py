@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import records, tables, transcripts
+from vellum.plans import more, records, tables, transcripts
 
-_MODULES = (transcripts, tables, records)
+_MODULES = (transcripts, tables, records, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

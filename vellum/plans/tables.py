@@ -114,7 +114,8 @@ def tombstone_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order that is filled."""
+    live = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return control.orphans(read(spark, sf_dir, "customer").select("c_custkey"), live, "c_custkey")
 
 
@@ -172,7 +173,7 @@ def cascade_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs folded over their requests; no SQL can fold."""
+    """Jobs folded over their requests."""
     target = F.element_at(F.create_map(*(F.lit(x) for kv in {"signup": "analyzing", "view": "building", "click": "eligible", "purchase": "uploading", "error": "local_pending"}.items() for x in kv)), F.col("event_type"))
     return control.fold_states(_events(spark, sf_dir).withColumn("target", target), "user_id", ["at", "event_id"], "target")
 
@@ -225,7 +226,7 @@ def noise_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speech_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of speech after hysteresis; a fold that plain SQL can't state."""
+    """Runs of speech after hysteresis."""
     return vad.speech_intervals(vad.activity(vad.levels(_samples(spark, sf_dir), 16)), 16)
 
 
@@ -286,7 +287,7 @@ SELECT o_orderkey, CASE WHEN consent_id IS NULL THEN 'no_consent' WHEN withdrawn
   WHEN NOT purpose THEN 'purpose_not_granted' WHEN {NOW} - o_orderkey % 20 * 86400 < granted_at THEN 'session_before_consent' WHEN o_orderkey % 19 = 0 THEN 'session_opted_out' WHEN o_orderkey % 3 = 0 THEN 'language_not_validated' END AS reason
 FROM orders LEFT JOIN (SELECT * FROM consent WHERE tenant_id % 23 <> 0) ON tenant_id = o_custkey WHERE o_custkey % 2 = 0 OR o_orderkey % 2 = 0""",
     "tombstone_anti_join": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
-    "orphan_objects": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "orphan_objects": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "latest_delivery": "SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "first_receipt": """SELECT user_id, event_type, day, "at", event_id, duplicates FROM (SELECT *, count(*) OVER k - 1 AS duplicates, row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY "at", event_id) AS r
   FROM (SELECT user_id, event_type, floor(epoch(ts) / 86400)::BIGINT AS day, floor(epoch(ts))::BIGINT AS "at", event_id FROM events) WINDOW k AS (PARTITION BY user_id, event_type, day)) WHERE r = 1""",
