@@ -14,6 +14,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         folder = _TEST_FOLDERS.setdefault(app, "file://" + tempfile.mkdtemp(prefix="vellum-"))
     return folder.rstrip("/")
