@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import numbers
 from vellum.functions import text as T
-from vellum.operators import control, detect, evaluate, intervals, recognised, records, removal, rules, splice
+from vellum.operators import control, detect, evaluate, intervals, package, recognised, records, removal, rules, splice
 from vellum.sources import transcripts as source
 from vellum.streaming import captions
 
@@ -334,3 +334,45 @@ def test_windows_and_prompts(spark):
 def test_low_pass_weights():
     weights = splice.low_pass_weights(48_000, 16_000)
     assert len(weights) == 63 and abs(sum(weights) - 1) < 1e-9 and weights == pytest.approx(weights[::-1])
+
+
+def test_package_reasons_of_what_no_query_has(spark):
+    """One fault each in an otherwise sound package of one clip; what the registered query's faults don't reach."""
+    sound = source.wav_bytes(np.zeros(1600))
+
+    def made(name, audio=sound, text=b"one two", more=None, edit=lambda m: None, sums=lambda c: None):
+        files = {"clip-000.wav": audio, "clip-000.txt": text} | (more or {})
+        digest = {k: hashlib.sha256(v).hexdigest() for k, v in files.items()}
+        quality = {"duration_ms": 100, "word_count": 2, "mean_confidence": 1, "speech_ratio": 0.5, "removed_interval_count": 0, "removed_duration_ms": 0, "clip_count": 1}
+        clip = {"audio": "clip-000.wav", "text": "clip-000.txt", "duration_ms": 100, "word_count": 2, "sha256": digest["clip-000.wav"]}
+        m = {k: "x" for k in records.STRINGS} | {"eligibility_version": 1, "sample_id": "sample-" + "0" * 16, "sample_rate": 16_000, "language": "en", "duration_ms": 100, "clip_count": 1, "quality": quality, "clips": [clip], "checksums": digest}
+        edit(m), sums(digest)
+        return (name, json.dumps(m), files)
+
+    odd = sound[:40] + (3200 - 1).to_bytes(4, "little") + sound[44:]
+    cases = [
+        (made("sound"), None),
+        (made("bytes", text=b"one \xff"), "clip_text_not_utf8"),
+        (made("odd", audio=odd), "invalid_wav"),
+        (made("cut", audio=sound[:-2]), "invalid_wav"),
+        (made("unreferenced", more={"x.txt": b"x"}), "package_unreferenced_payload"),
+        (made("name", more={"../x": b"x"}), "unsafe_archive_entry"),
+        (made("large", more={"x.bin": bytes(package.FILE_BYTES + 1)}), "package_file_too_large"),
+        (made("no digest", sums=lambda c: c.update({"clip-000.txt": "no"})), "invalid_checksum"),
+        (made("no checksums", edit=lambda m: m.update(checksums="{}")), "invalid_checksums"),
+        (made("no clips", edit=lambda m: m.update(clips={})), "invalid_clips"),
+        (made("clip", edit=lambda m: m.update(clips=["{}"])), "invalid_clip"),
+        (made("clip keys", edit=lambda m: m["clips"][0].pop("sha256")), "package_fields_mismatch"),
+        (made("file", edit=lambda m: m["clips"][0].update(sha256="0" * 64)), "package_checksum_mismatch"),
+        (made("quality", edit=lambda m: m.update(quality=None)), "invalid_quality"),
+        (made("quality keys", edit=lambda m: m["quality"].update(more=1)), "package_fields_mismatch"),
+        (made("ratio", edit=lambda m: m["quality"].update(mean_confidence="1")), "invalid_quality_metric"),
+        (made("flag", edit=lambda m: m["quality"].update(removed_duration_ms=True)), "invalid_field_type"),
+        (made("type", edit=lambda m: m.update(sample_rate="16000")), "invalid_field_type"),
+        (("null", None, None), "package_manifest_not_object"),
+        (("no files", made("x")[1], None), "package_checksum_coverage_mismatch"),
+    ]
+    rows = spark.createDataFrame([x for x, _ in cases], "package_id string, manifest string, payloads map<string,binary>")
+    got = {r["package_id"]: r["reason"] for r in package.package_reasons(rows).collect()}
+    assert got == {x[0]: reason for x, reason in cases}
+    assert package.package_reasons(rows.limit(0)).count() == 0

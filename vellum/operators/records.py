@@ -70,32 +70,47 @@ def forbidden_key(records: pd.Series) -> pd.Series:
     return records.map(one)
 
 
-def _number(record: Column, key: str) -> Column:
+def kind_of(record: Column, key: str) -> Column:
+    """The type of a record's value, as ``schema_of_variant`` names it; null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(record), f"$.{key}", "variant"))
+
+
+def number_of(record: Column, key: str) -> Column:
     """A whole number of a record that is written as one; null for anything else."""
     raw = F.get_json_object(record, f"$.{key}")
-    v = F.try_parse_json(record)
-    kind = F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
-    return F.when((kind == "BIGINT") & raw.rlike(r"^[0-9]{1,18}$"), raw.cast("long"))
+    return F.when((kind_of(record, key) == "BIGINT") & raw.rlike(r"^[0-9]{1,18}$"), raw.cast("long"))
 
 
-def _string(record: Column, key: str) -> Column:
-    v = F.try_parse_json(record)
-    return F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant")) == "STRING", F.get_json_object(record, f"$.{key}"))
+def string_of(record: Column, key: str) -> Column:
+    return F.when(kind_of(record, key) == "STRING", F.get_json_object(record, f"$.{key}"))
 
 
-def manifest_reason(record: Column, versions: Sequence[int] = (1,), most_clips: int = 64) -> Column:
-    """Why a manifest's header is refused, or null."""
-    version, rate, clips = (_number(record, k) for k in ("eligibility_version", "sample_rate", "clip_count"))
-    checks = [
-        ("manifest_not_object", F.json_object_keys(record).isNull()), ("manifest_keys", ~same_keys(record, MANIFEST_KEYS)), ("unknown_eligibility_version", version.isNull() | ~version.isin(*versions)),
-        ("invalid_sample_id", F.coalesce(~_string(record, "sample_id").rlike(T.SAMPLE_ID), F.lit(True))), ("invalid_sample_rate", F.coalesce(rate != 16_000, F.lit(True))),
-        ("language_not_validated", F.coalesce(_string(record, "language") != "en", F.lit(True))), ("invalid_duration", _number(record, "duration_ms").isNull()),
-        ("invalid_clip_count", F.coalesce((clips < 1) | (clips > most_clips), F.lit(True))),
-    ]
-    checks += [("invalid_manifest_string", F.coalesce((F.octet_length(_string(record, k)) < 1) | (F.octet_length(_string(record, k)) > 256), F.lit(True))) for k in STRINGS]
+def manifest_form(record: Column) -> Column:
+    """Whether a manifest is an object of exactly its keys: the reason if not, or null."""
+    return first_reason([("package_manifest_not_object", F.json_object_keys(record).isNull()), ("package_fields_mismatch", ~same_keys(record, MANIFEST_KEYS))])
+
+
+def header_reason(record: Column, versions: Sequence[int] = (1,), most_clips: int = 128) -> Column:
+    """Why the plain fields of a manifest of the right form are refused, or null."""
+    version, rate, clips = (number_of(record, k) for k in ("eligibility_version", "sample_rate", "clip_count"))
+    sample, language = string_of(record, "sample_id"), string_of(record, "language")
+    checks = []
+    for value, code, failed in (
+        (version, "unknown_eligibility_version", ~version.isin(*versions)), (sample, "invalid_sample_id", ~sample.rlike(T.SAMPLE_ID)), (rate, "invalid_sample_rate", rate != 16_000), (language, "language_not_validated", language != "en"),
+        (number_of(record, "duration_ms"), "invalid_field_type", F.lit(False)), (clips, "invalid_clip_count", (clips < 1) | (clips > most_clips)),
+    ):
+        checks += [("invalid_field_type", value.isNull()), (code, failed)]
+    for k in STRINGS:
+        size = F.octet_length(string_of(record, k))
+        checks += [("invalid_field_type", size.isNull()), ("invalid_manifest_string", (size < 1) | (size > 256))]
     return first_reason(checks)
 
 
+def manifest_reason(record: Column, versions: Sequence[int] = (1,), most_clips: int = 128) -> Column:
+    """Why a manifest's header is refused, or null."""
+    return F.coalesce(manifest_form(record), header_reason(record, versions, most_clips))
+
+
 def checksum_problems(packages: DataFrame) -> DataFrame:
     """(package_id, name, problem) from checksums (map of name to digest) and payloads (map of name to bytes): a full outer join."""
     declared = packages.select("package_id", F.explode("checksums").alias("name", "declared"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import records
+from vellum.operators import package, records
 from vellum.operators.removal import sentences
 from vellum.plans.transcripts import _words, read
+from vellum.sources.transcripts import wav_bytes
 
 
 def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _manifests(spark, sf_dir).select("s_suppkey", records.manifest_reason(F.col("record")).alias("reason"))
+    return _manifests(spark, sf_dir).select("s_suppkey", records.manifest_reason(F.col("record"), most_clips=64).alias("reason"))
 
 
 def forbidden_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +56,50 @@ def classifier_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.classifier_windows(ends)
 
 
-QUERIES = (manifest_reasons, forbidden_keys, sample_ids, display_texts, classifier_windows)
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package of two clips for each supplier, most of them with one fault, dealt by the key."""
+    k, ix = F.col("s_suppkey"), F.col("clip_ix")
+    fault = lambda n, bad, good: F.when(k % 20 == n, bad).otherwise(good)
+    keyed = read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("sample-"), F.lpad(F.hex("s_suppkey"), 16, "0")).alias("sample_id"))
+    sound = F.when(ix == 0, F.lit(wav_bytes(np.zeros(160)))).when(k % 20 == 8, F.lit(b"RIFX")).when(k % 20 == 9, F.lit(wav_bytes(np.zeros(320), 8000))).otherwise(F.lit(wav_bytes(np.zeros(320))))
+    clips = keyed.select("sample_id", "s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("clip_ix")).select(
+        "sample_id", "clip_ix", sound.alias("audio"), F.when(ix == 0, "one two").otherwise(fault(7, F.lit(" "), F.lit("three"))).alias("text"), F.when(ix == 0, 10).otherwise(fault(5, F.lit(21), F.lit(20))).alias("duration_ms"),
+        F.when(ix == 0, 2).otherwise(fault(6, F.lit(9), F.lit(1))).alias("word_count"),
+    )
+    quality = {
+        "duration_ms": F.lit(30), "word_count": fault(3, F.lit(4), F.lit(3)), "mean_confidence": F.lit(0.9), "speech_ratio": fault(4, F.lit(1.5), F.lit(0.5)), "removed_interval_count": F.lit(0), "removed_duration_ms": F.lit(0), "clip_count": F.lit(2),
+    }
+    fields = {"eligibility_version": F.lit(1), "sample_rate": fault(16, F.lit(8000), F.lit(16_000)), "language": F.lit("en"), "duration_ms": fault(2, F.lit(31), F.lit(30)), "quality": F.struct(*(v.alias(n) for n, v in quality.items()))}
+    headers = keyed.select("s_suppkey", "sample_id", *(v.alias(n) for n, v in (fields | {c: F.lit("x") for c in records.STRINGS}).items()))
+    made = records.packages(clips, headers).join(keyed, "sample_id")
+    m = F.col("manifest")
+    edited = (
+        F.when(k % 20 == 11, F.replace(m, F.lit('"text":"clip-001.txt"'), F.lit('"text":"clip-1.txt"'))).when(k % 20 == 12, F.concat(F.lit("["), m, F.lit("]"))).when(k % 20 == 13, F.replace(m, F.lit('"mean_confidence"'), F.lit('"Device_Name"')))
+        .when(k % 20 == 15, F.replace(m, F.lit('"clip_count":2,"quality"'), F.lit('"clip_count":3,"quality"'))).when(k % 20 == 17, F.replace(m, F.lit('"word_count":1,"sha256"'), F.lit('"word_count":"1","sha256"'))).otherwise(m)
+    )
+    files = F.when(k % 20 == 1, F.map_concat("payloads", F.create_map(F.lit("more.txt"), F.lit(b"x")))).when(k % 20 == 10, F.transform_values("payloads", lambda n, v: F.when(n == "clip-001.txt", F.lit(b"four")).otherwise(v))).otherwise(F.col("payloads"))
+    return made.select(k.alias("package_id"), edited.alias("manifest"), files.alias("payloads"))
+
+
+def package_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why whole packages are refused, and what their clips amount to."""
+    return package.package_reasons(_packages(spark, sf_dir)).select("package_id", "reason", "clips", "words")
+
+
+def package_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clips of packages by the manifest, with their texts."""
+    return package.clips_of(_packages(spark, sf_dir)).select("package_id", "clip_ix", "audio_name", F.octet_length("audio").alias("audio_bytes"), F.col("text").cast("string").alias("text"))
+
+
+QUERIES = (package_reasons, package_clips, manifest_reasons, forbidden_keys, sample_ids, display_texts, classifier_windows)
 SQL = {
-    "manifest_reasons": """SELECT s_suppkey, CASE WHEN s_suppkey % 17 = 0 THEN 'manifest_not_object' WHEN s_suppkey % 7 = 0 THEN 'unknown_eligibility_version' WHEN s_suppkey % 5 = 0 THEN 'invalid_sample_id' WHEN s_suppkey % 11 = 0 THEN 'invalid_sample_rate'
+    "package_reasons": """SELECT s_suppkey AS package_id, CASE s_suppkey % 20 WHEN 1 THEN 'package_checksum_coverage_mismatch' WHEN 2 THEN 'package_duration_mismatch' WHEN 3 THEN 'quality_metrics_mismatch' WHEN 4 THEN 'invalid_quality_metric'
+  WHEN 5 THEN 'clip_duration_mismatch' WHEN 6 THEN 'clip_word_count_mismatch' WHEN 7 THEN 'invalid_clip_text' WHEN 8 THEN 'invalid_wav' WHEN 9 THEN 'invalid_wav_format' WHEN 10 THEN 'package_checksum_mismatch' WHEN 11 THEN 'unsafe_clip_filename'
+  WHEN 12 THEN 'package_manifest_not_object' WHEN 13 THEN 'package_forbidden_field' WHEN 15 THEN 'clip_count_mismatch' WHEN 16 THEN 'invalid_sample_rate' WHEN 17 THEN 'invalid_field_type' END AS reason,
+  CASE WHEN s_suppkey % 20 = 12 THEN 0 ELSE 2 END::BIGINT AS clips, CASE s_suppkey % 20 WHEN 7 THEN 2 WHEN 11 THEN 2 WHEN 12 THEN 0 ELSE 3 END::BIGINT AS words FROM supplier""",
+    "package_clips": """SELECT s_suppkey AS package_id, ix::INT AS clip_ix, 'clip-00' || ix || '.wav' AS audio_name, CASE WHEN ix = 0 THEN 364 WHEN s_suppkey % 20 = 8 THEN 4 ELSE 684 END::INT AS audio_bytes,
+  CASE WHEN ix = 0 THEN 'one two' WHEN s_suppkey % 20 = 11 THEN NULL WHEN s_suppkey % 20 = 7 THEN ' ' WHEN s_suppkey % 20 = 10 THEN 'four' ELSE 'three' END AS text FROM supplier, range(2) AS r(ix) WHERE s_suppkey % 20 <> 12""",
+    "manifest_reasons": """SELECT s_suppkey, CASE WHEN s_suppkey % 17 = 0 THEN 'package_manifest_not_object' WHEN s_suppkey % 7 = 0 THEN 'unknown_eligibility_version' WHEN s_suppkey % 5 = 0 THEN 'invalid_sample_id' WHEN s_suppkey % 11 = 0 THEN 'invalid_sample_rate'
   WHEN s_suppkey % 3 = 0 THEN 'language_not_validated' WHEN s_suppkey % 80 = 0 OR s_suppkey % 80 > 64 THEN 'invalid_clip_count' END AS reason FROM supplier""",
     "forbidden_keys": "SELECT s_suppkey, CASE WHEN s_suppkey % 13 = 0 THEN 'path' END AS found FROM supplier",
     "sample_ids": """SELECT c_custkey, length('key-' || c_custkey) BETWEEN 8 AND 128 AS key_ok, c_custkey % 4 <> 0 AND regexp_full_match(c_mktsegment || '.x', '[A-Za-z0-9._-]{1,64}') AS entry_ok, true AS digest_ok, sha256(c_name) AS digest,
