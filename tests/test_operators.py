@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import numbers
 from vellum.functions import text as T
-from vellum.operators import control, detect, evaluate, intervals, package, recognised, records, removal, rules, splice
+from vellum.operators import control, detect, evaluate, intervals, package, recognised, recording, records, removal, rules, splice
 from vellum.sources import transcripts as source
 from vellum.streaming import captions
 
@@ -376,3 +376,21 @@ def test_package_reasons_of_what_no_query_has(spark):
     got = {r["package_id"]: r["reason"] for r in package.package_reasons(rows).collect()}
     assert got == {x[0]: reason for x, reason in cases}
     assert package.package_reasons(rows.limit(0)).count() == 0
+
+
+def test_recording_histories(spark):
+    """Histories told step by step: (event, state after, reason)."""
+    told = {
+        "hold": [("hold_down", "starting", None), ("hold_down", "starting", "auto_repeat"), ("capture_started", "recording_held", None), ("hold_up", "finalizing", None), ("hold_down", "finalizing", "busy_finalizing"), ("finalized", "delivering", None), ("delivered", "idle", None), ("reset", "idle", "already_idle")],
+        "lock": [("toggle", "starting", None), ("hold_up", "starting", "not_held"), ("capture_started", "recording_locked", None), ("lock", "recording_locked", "already_locked"), ("hold_up", "recording_locked", "locked"), ("duration_limit", "finalizing", None), ("stop", "finalizing", "already_stopping")],
+        "early": [("hold_down", "starting", None), ("lock", "starting", None), ("stop", "starting", None), ("capture_started", "finalizing", None), ("cancel", "cancelled", None), ("finalized", "cancelled", "not_finalizing"), ("hold_down", "cancelled", "invalid_transition"), ("failed", "error", None), ("reset", "idle", None)],
+        "odd": [("finalized", "idle", "not_finalizing"), ("failed", "idle", "idle"), ("cancel", "idle", "nothing_to_cancel"), (None, "idle", "invalid_transition"), ("nonsense", "idle", "invalid_transition"), ("toggle", "starting", None), ("reset", "starting", "invalid_transition")],
+        None: [("hold_down", "starting", None)],
+    }
+    rows = [(k, i, e, "s") for k, steps in told.items() for i, (e, _, _) in enumerate(steps)] + [("empty", 0, "hold_down", ""), ("empty", 1, "toggle", None)]
+    got = recording.recorded(spark.createDataFrame(rows, "device string, at long, event string, session string"), "device", ["at"]).collect()
+    expected = {(k, i, s, r) for k, steps in told.items() for i, (_, s, r) in enumerate(steps)} | {("empty", i, "idle", "invalid_transition") for i in (0, 1)}
+    assert {(r["device"], r["at"], r["after"], r["reason"]) for r in got} == expected
+    assert all(r["accepted"] == (r["reason"] is None) for r in got)
+    assert [r["effects"] for r in got if (r["device"], r["at"]) == ("early", 4)] == [["stop_capture", "discard_session", "announce_state", "release_resources"]]
+    assert recording.recorded(spark.createDataFrame([], "device string, at long, event string, session string"), "device", ["at"]).count() == 0

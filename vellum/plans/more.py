@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators import control, recognised, splice
+from vellum.operators import control, recognised, recording, splice
 from vellum.plans.tables import _CONSENT, _FRAMES, NOW, _consents, _events
 from vellum.plans.transcripts import read
 
@@ -63,6 +63,17 @@ def active_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.installs(rows, "user_id", ["event_id"])
 
 
+#: The order in which the query below deals the machine's events to ids.
+_RECORDING = ("hold_down", "capture_started", "lock", "hold_up", "stop", "finalized", "delivered", "toggle", "cancel", "failed", "duration_limit", "reset")
+
+
+def recording_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as those of a recording device; a start in seven names no session."""
+    k = F.col("event_id")
+    rows = _events(spark, sf_dir).select("user_id", "event_id", F.element_at(F.array(*map(F.lit, _RECORDING)), (k % 12 + 1).cast("int")).alias("event"), F.when(k % 7 != 0, "s").otherwise("").alias("session"))
+    return recording.recorded(rows, "user_id", ["event_id"]).select("user_id", "event_id", "event", "before", "after", "accepted")
+
+
 def deletion_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     scope = F.when(k % 5 == 0, "everything").when(k % 5 == 1, F.concat(F.lit("sample:"), k)).when(k % 5 == 2, F.concat(F.lit("receipt:a:"), k)).when(k % 5 == 3, "sample:").otherwise("other:1")
@@ -126,7 +137,7 @@ def mono_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", splice.mono(a, b).alias("mono"))
 
 
-QUERIES = (
+QUERIES = (recording_states, 
     admission_answers, delivered_models, paused_consents, withdrawn_samples, finished_jobs, active_models, deletion_routes, oldest_jobs, authenticated_tenants, recognised_words, spliced_words, mapped_times, bounded_frames, mono_samples,
 )
 
@@ -157,6 +168,22 @@ SELECT k."at", head.reason IS NULL AS accepted, head.reason, again AS duplicate
   CASE WHEN o_custkey % 3 = 0 AND o_orderstatus <> 'F' THEN 'consent_withdrawn' END AS reason, CASE WHEN o_custkey % 3 = 0 THEN coalesce(withdrawn_at, {NOW}) ELSE withdrawn_at END AS withdrawn_at, o_custkey % 3 = 0 AS gone FROM orders JOIN consent ON tenant_id = o_custkey""",
     "finished_jobs": """WITH f AS (SELECT l_orderkey, l_linenumber AS "at", l_returnflag, l_linestatus FROM lineitem WHERE l_quantity > 25 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) = 1)
 SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 10 <> 0 AND "at" IS NOT NULL THEN l_returnflag ELSE 'running' END AS state, CASE WHEN o_orderkey % 10 <> 0 THEN l_linestatus END AS reason, CASE WHEN o_orderkey % 10 = 0 THEN 5 ELSE "at" END AS finished_at FROM orders LEFT JOIN f ON l_orderkey = o_orderkey""",
+    "recording_states": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, ({list(_RECORDING)})[event_id % 12 + 1] AS event, event_id % 7 <> 0 AS named, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, '' AS event, '' AS before, 'idle' AS after, false AS locked, false AS stopped, false AS accepted FROM events
+  UNION ALL
+  SELECT user_id, i, event_id, event, s, t, CASE s WHEN 'idle' THEN event = 'toggle' WHEN 'starting' THEN locked OR event = 'lock' ELSE locked END, s = 'starting' AND (stopped OR later), t <> s OR (s = 'starting' AND (later OR event = 'lock')) OR (s = 'error' AND event = 'failed')
+  FROM (
+    SELECT e.*, f.after AS s, locked, stopped, e.event IN ('toggle', 'stop') OR (e.event = 'hold_up' AND NOT locked) AS later,
+      CASE WHEN e.event = 'cancel' AND f.after NOT IN ('idle', 'cancelled') THEN 'cancelled' WHEN e.event = 'failed' AND f.after <> 'idle' THEN 'error' WHEN e.event = 'reset' AND f.after IN ('cancelled', 'error') THEN 'idle'
+        WHEN f.after = 'idle' AND named AND e.event IN ('hold_down', 'toggle') THEN 'starting'
+        WHEN f.after = 'starting' AND e.event = 'capture_started' THEN CASE WHEN stopped THEN 'finalizing' WHEN locked THEN 'recording_locked' ELSE 'recording_held' END
+        WHEN f.after IN ('recording_held', 'recording_locked') AND e.event IN ('toggle', 'stop', 'duration_limit') THEN 'finalizing' WHEN f.after = 'recording_held' AND e.event = 'hold_up' THEN 'finalizing'
+        WHEN f.after = 'recording_held' AND e.event = 'lock' THEN 'recording_locked' WHEN f.after = 'finalizing' AND e.event = 'finalized' THEN 'delivering' WHEN f.after = 'delivering' AND e.event = 'delivered' THEN 'idle' ELSE f.after END AS t
+    FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1
+  )
+)
+SELECT user_id, event_id, event, before, after, accepted FROM f WHERE i > 0""",
     "active_models": """WITH RECURSIVE e AS (SELECT user_id, event_type = 'error' AS back, 'model-' || event_id AS artifact, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
 r AS (
   SELECT user_id, 0 AS i, NULL::VARCHAR AS active, NULL::VARCHAR AS previous FROM (SELECT DISTINCT user_id FROM e)
