@@ -90,22 +90,18 @@ def consent_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.trainable(samples, _consents(spark, sf_dir), NOW).select("tenant_id", "sample_id")
 
 
-def full_session_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why each order of each customer isn't eligible, by the consent that it stands under; some customers have none."""
-    return _eligibility(spark, sf_dir).select("o_orderkey", "reason")
-
-
 def session_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for the orders that the SQL takes: those of even customers and those with even keys."""
-    return _eligibility(spark, sf_dir).where("tenant_id % 2 = 0 OR o_orderkey % 2 = 0").select("o_orderkey", "reason")
-
-
-def _eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each order of each customer isn't eligible, by the consent that it stands under; some customers have none."""
     consents = _consents(spark, sf_dir).withColumnRenamed("withdrawn_at", "revoked_at")
     consents = consents.withColumn("consent_id", F.when(F.col("tenant_id") % 23 != 0, F.col("consent_id")))
     sessions = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("tenant_id"), (F.lit(NOW) - F.col("o_orderkey") % 20 * 86_400).alias("started_at"), (F.col("o_orderkey") % 19 == 0).alias("opted_out"), F.when(F.col("o_orderkey") % 3 == 0, "de").otherwise("en").alias("language"))
     reason = control.consent_refusal(NOW, "2", "test", "started_at", "opted_out", "language")
-    return sessions.join(consents, "tenant_id", "left").select("tenant_id", "o_orderkey", reason.alias("reason"))
+    return sessions.join(consents, "tenant_id", "left").select("o_orderkey", reason.alias("reason"))
+
+
+def full_session_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same; an earlier name."""
+    return session_eligibility(spark, sf_dir)
 
 
 def tombstone_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +281,7 @@ SELECT c.l_orderkey, a AS start, a + 30 AS "end", sum(CASE WHEN e IS NULL THEN 0
     "session_eligibility": f"""WITH {_CONSENT}
 SELECT o_orderkey, CASE WHEN consent_id IS NULL THEN 'no_consent' WHEN withdrawn_at IS NOT NULL OR expires_at <= {NOW} THEN 'consent_expired_or_revoked' WHEN paused THEN 'consent_paused' WHEN version <> '2' THEN 'consent_version_outdated'
   WHEN NOT purpose THEN 'purpose_not_granted' WHEN {NOW} - o_orderkey % 20 * 86400 < granted_at THEN 'session_before_consent' WHEN o_orderkey % 19 = 0 THEN 'session_opted_out' WHEN o_orderkey % 3 = 0 THEN 'language_not_validated' END AS reason
-FROM orders LEFT JOIN (SELECT * FROM consent WHERE tenant_id % 23 <> 0) ON tenant_id = o_custkey WHERE o_custkey % 2 = 0 OR o_orderkey % 2 = 0""",
+FROM orders LEFT JOIN (SELECT * FROM consent WHERE tenant_id % 23 <> 0) ON tenant_id = o_custkey""",
     "tombstone_anti_join": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
     "orphan_objects": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "latest_delivery": "SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
@@ -308,3 +304,4 @@ SELECT dimension, value, caught, total, p AS recall, greatest(0, (p + z * z / (2
     "audio_frames": f"WITH {_FRAMES} SELECT session_id, frame_ix, round(level::DOUBLE, 3) AS level FROM l",
     "noise_floors": f"WITH {_FRAMES} SELECT session_id, round((list(level ORDER BY level))[greatest(1, count(*) // 5)]::DOUBLE, 3) AS floor FROM l GROUP BY session_id",
 }
+SQL["full_session_eligibility"] = SQL["session_eligibility"]
