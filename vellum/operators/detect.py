@@ -65,9 +65,12 @@ def digit_run_hits(text: Column) -> Column:
     return as_hits(F.filter(matches(text, rules.DIGIT_RUN), lambda m: F.length(T.digits(m["match"])) >= rules.MIN_DIGITS), "account_identifier", "digit_run_pattern")
 
 
-def _iban(text: Column) -> Column:
+def _upper(text: Column) -> Column:
+    return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def _iban(upper: Column) -> Column:
     """Account numbers; groups are left off at the end until the check holds."""
-    upper = F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
     def groups(m: Column) -> Column:
         parts = F.split(m["match"], " ")
@@ -97,11 +100,20 @@ def _word_hits(spoken: Column, words: Sequence[str], category: str, detector: st
 
 
 def _triggers(spoken: Column) -> list[Column]:
-    out = []
-    for phrase, category, window, detector in rules.TRIGGERS:
-        words = phrase.split(" ")
-        out.append(_phrase_hits(spoken, words, category, detector, "rules", window))
-    return out
+    """All trigger phrases, one pass for each length of phrase."""
+    entries = [x for phrase, c, n, d in rules.TRIGGERS for x in (F.lit(phrase), F.struct(F.lit(c).alias("category"), F.lit(n).alias("window"), F.lit(d).alias("detector")))]
+    phrases = [phrase for phrase, *_ in rules.TRIGGERS]
+    return [_looked_up(spoken, [p for p in phrases if p.count(" ") == k - 1], k, F.create_map(*entries)) for k in sorted({p.count(" ") + 1 for p in phrases})]
+
+
+def _looked_up(spoken: Column, phrases: Sequence[str], k: int, rule: Column) -> Column:
+    """Hits of phrases of ``k`` words, by the map from a phrase to its rule. Words hold no blank, so joined ones tell the phrase."""
+    first = sorted({p.split(" ")[0] for p in phrases})
+    starts = F.filter(F.transform(spoken, lambda w, i: F.when(w.isin(*first), i)), lambda i: i.isNotNull())
+    there = F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(spoken, i + 1, k), " ").alias("phrase")))
+    found = F.transform(F.filter(there, lambda x: x["phrase"].isin(*phrases)), lambda x: F.struct(x["at"].alias("at"), F.element_at(rule, x["phrase"]).alias("rule")))
+    stop = lambda x: F.least(x["at"] + (k - 1) + x["rule"]["window"], F.size(spoken) - 1) + 1
+    return F.transform(found, lambda x: F.struct(x["at"].cast("long").alias("start"), stop(x).cast("long").alias("stop"), x["rule"]["category"].alias("category"), x["rule"]["detector"].alias("detector"), F.lit("rules").alias("source")))
 
 
 def _digit_runs(spoken: Column, least: int = rules.MIN_DIGITS) -> Column:
@@ -133,9 +145,9 @@ def _spoken_contacts(spoken: Column) -> Column:
     return F.transform(spelled, lambda r: _hit(r["first"], r["last"], "contact", "spoken_contact_run"))
 
 
-def injections(display: Column) -> Column:
-    text = F.array_join(display, " ")
-    lowered = F.lower(text)
+def injections(display: Column, text: Column | None = None, lowered: Column | None = None) -> Column:
+    text = F.array_join(display, " ") if text is None else text
+    lowered = F.lower(text) if lowered is None else lowered
     moved = F.octet_length(lowered) != F.octet_length(text)
     whole = F.struct(F.lit(0).alias("first"), (F.size(display) - 1).alias("last"))
     ends = lambda m: F.struct(F.when(moved, whole["first"]).otherwise(m["first"]).alias("first"), F.when(moved, whole["last"]).otherwise(m["last"]).alias("last"))
@@ -143,11 +155,12 @@ def injections(display: Column) -> Column:
     return F.transform(found, lambda m: _hit(m["first"], m["last"], "customer_confidential", "injection_attempt"))
 
 
-def detected(display: Column, spoken: Column, private_terms: Sequence[str] = ()) -> Column:
-    """All hits of a transcript, by (start, stop, detector)."""
-    text = F.array_join(display, " ")
+def detected(display: Column, spoken: Column, private_terms: Sequence[str] = (), text: Column | None = None, lowered: Column | None = None, upper: Column | None = None) -> Column:
+    """All hits of a transcript, by (start, stop, detector). The joined words, and they lowered and raised, may come as columns, so that they are made once."""
+    text = F.array_join(display, " ") if text is None else text
+    upper = _upper(text) if upper is None else upper
     parts = [as_hits(matches(text, pattern), category, detector) for detector, category, pattern in rules.PATTERNS]
-    parts += [entropy_hits(text), _iban(text)]
+    parts += [entropy_hits(text), _iban(upper)]
     parts += [card_hits(text), digit_run_hits(text)]
     parts += [_digit_runs(spoken), _spoken_contacts(spoken), *_triggers(spoken)]
     parts += [_word_hits(spoken, words, category, detector) for detector, category, words in rules.LEXICONS]
@@ -155,7 +168,7 @@ def detected(display: Column, spoken: Column, private_terms: Sequence[str] = ())
         words = _tokens(term)
         if words:
             parts.append(_phrase_hits(spoken, words, "user_defined", "user_private_term", "user_terms"))
-    parts.append(injections(display))
+    parts.append(injections(display, text, lowered))
     kind = "array<struct<start:bigint,stop:bigint,category:string,detector:string,source:string>>"
     return F.array_sort(F.concat(*(p.cast(kind) for p in parts)), lambda a, b: _order(a, b))
 
@@ -178,7 +191,8 @@ def _tokens(term: str) -> list[str]:
 
 def hits(sessions: DataFrame, private_terms: Sequence[str] = ()) -> DataFrame:
     """(session_id, start, stop, category, detector, source): a row per hit."""
-    found = sessions.select("session_id", F.explode(detected(F.col("display"), F.col("spoken"), private_terms)).alias("h"))
+    rows = sessions.withColumn("__text", F.array_join("display", " ")).withColumns({"__lower": F.lower("__text"), "__upper": _upper(F.col("__text"))})
+    found = rows.select("session_id", F.explode(detected(F.col("display"), F.col("spoken"), private_terms, F.col("__text"), F.col("__lower"), F.col("__upper"))).alias("h"))
     return found.select("session_id", "h.*")
 
 
@@ -191,3 +205,10 @@ def spans(found: DataFrame, model: DataFrame | None = None) -> DataFrame:
 
 def mandatory(all_spans: DataFrame) -> DataFrame:
     return all_spans.where(F.col("source").isin("rules", "user_terms"))
+
+
+def findings(sessions: DataFrame, found: DataFrame) -> DataFrame:
+    """(session_id, detectors, clean): the names of the detectors that hit, once each and sorted; clean without any, attempts to instruct included."""
+    names = found.groupBy("session_id").agg(F.array_sort(F.collect_set("detector")).alias("detectors"))
+    rows = sessions.select("session_id").join(names, "session_id", "left").withColumn("detectors", F.coalesce("detectors", F.array().cast("array<string>")))
+    return rows.withColumn("clean", F.size("detectors") == 0)
