@@ -394,3 +394,25 @@ def test_recording_histories(spark):
     assert all(r["accepted"] == (r["reason"] is None) for r in got)
     assert [r["effects"] for r in got if (r["device"], r["at"]) == ("early", 4)] == [["stop_capture", "discard_session", "announce_state", "release_resources"]]
     assert recording.recorded(spark.createDataFrame([], "device string, at long, event string, session string"), "device", ["at"]).count() == 0
+
+
+def test_retained_text_is_checked_once_more(spark):
+    from vellum.operators import removal
+
+    made = spark.createDataFrame([(1, 0, "call", 2000), (1, 1, "me later", 2000), (2, 0, "fine words", 2000)], "session_id long, clip_ix int, text string, duration_ms long")
+    made = made.withColumns({"word_count": F.lit(3), "mean_confidence": F.lit(0.9), "reason": F.lit(None).cast("string")})
+    unclean = detect.hits(detect.transcripts(removal.spliced(made), "session_id"))
+    sessions = spark.createDataFrame([(1, None), (2, None), (3, "no_audio")], "session_id long, early_reason string")
+    got = {r["session_id"]: r["reason"] for r in removal.session_results(sessions, made, unclean=unclean).collect()}
+    assert got == {1: "sensitive_after_removal", 2: None, 3: "no_audio"}
+    assert {r["session_id"]: r["clean"] for r in detect.findings(sessions, unclean).collect()} == {1: False, 2: True, 3: True}
+
+
+def test_early_reasons_of_unknown_values(spark):
+    from vellum.operators import removal
+
+    columns = "a string, u boolean, w int, s int, l string, q boolean, p array<string>"
+    rows = [(None, None, 3, 3, "en", None, None), (None, True, None, 3, "en", None, None), (None, None, None, 3, "en", None, None), (None, None, 3, None, "en", None, None), (None, None, 3, 3, None, None, None), ("r", True, None, None, None, True, None), (None, False, 1, 1, "en", True, ["empty_word_text"]), (None, False, 1, 1, "en", False, ["x", "empty_word_text"])]
+    df = spark.createDataFrame(rows, columns).coalesce(1)
+    got = [r[0] for r in df.select(removal.early_reason(*(F.col(c) for c in "auwslqp"))).collect()]
+    assert got == [None, "uncertain_analysis", "empty_transcript", "no_audio", "language_not_validated", "r", "session_silent", "alignment_unusable"]

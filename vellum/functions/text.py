@@ -73,7 +73,7 @@ SAFE_ENTRY = r"^[A-Za-z0-9._-]{1,64}$"
 DIGEST = r"^[0-9a-fA-F]{64}$"
 SAMPLE_ID = r"^sample-([0-9a-fA-F]{16}|[0-9a-fA-F]{32})$"
 IDEMPOTENCY_KEY = r"^[A-Za-z0-9_-]{8,128}$"
-METADATA = r"^[a-z0-9_:.-]+$"
+METADATA = r"\A[a-z0-9_:.-]+\z"
 
 
 def safe_entry(name: Column) -> Column:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum.functions import text as T
 from vellum.functions.numbers import held_out_size
 
 #: Job states, and which may follow which.
@@ -381,3 +382,66 @@ def permitted(events: DataFrame, clients: DataFrame) -> DataFrame:
     scopes = F.create_map(*(F.lit(x) for kv in EVENT_SCOPES.items() for x in kv))
     kinds = clients.select("client_id", F.explode(F.filter(F.map_keys(scopes), lambda k: F.array_contains("scopes", scopes[k]) & (F.col("wanted").isNull() | F.array_contains("wanted", k)))).alias("kind"))
     return events.join(kinds, "kind")
+
+
+def pending_deletions(requests: DataFrame) -> DataFrame:
+    """Requests for deletion that nothing has completed."""
+    return requests.where("completed_at IS NULL")
+
+
+def completed_deletions(requests: DataFrame, done: DataFrame, now: int) -> DataFrame:
+    """``requests`` with those of ``done`` (request_id) completed now; what wasn't sent before counts as sent now."""
+    marked = requests.join(done.select("request_id").distinct().withColumn("__done", F.lit(True)), "request_id", "left")
+    at = F.when(F.col("__done"), F.lit(now).cast("long"))
+    return marked.withColumns({"completed_at": F.coalesce(at, "completed_at"), "sent_at": F.coalesce("sent_at", at)}).drop("__done")
+
+
+def node_kinds(nodes: DataFrame, lineage: DataFrame) -> DataFrame:
+    """(node, kind) of the nodes that the lineage knows."""
+    return nodes.select("node").distinct().join(lineage.select("node", "kind"), "node")
+
+
+def unexpired(rows: DataFrame, now: int) -> DataFrame:
+    """What a cleanup leaves; rows without an expiry stay."""
+    return rows.where(F.coalesce(F.col("expires_at") > now, F.lit(True)))
+
+
+def cleanup_report(scopes: DataFrame, metadata: DataFrame, now: int) -> DataFrame:
+    """One row (expired_scopes, expired_metadata): how many rows a cleanup takes."""
+    both = scopes.select("expires_at", F.lit(1).alias("s")).unionAll(metadata.select("expires_at", F.lit(0).alias("s"))).where(F.col("expires_at") <= now)
+    return both.agg(F.count_if(F.col("s") == 1).alias("expired_scopes"), F.count_if(F.col("s") == 0).alias("expired_metadata"))
+
+
+def api_clients(requests: DataFrame, clients: DataFrame) -> DataFrame:
+    """Requests (token, ...) with the client that has the token's hash and isn't revoked."""
+    known = clients.where("revoked_at IS NULL").select("client_id", F.col("token_hash").alias("__hash"))
+    return requests.join(known, token_hash(F.col("token")) == F.col("__hash")).drop("__hash", "token")
+
+
+def last_used(clients: DataFrame, answered: DataFrame) -> DataFrame:
+    """``clients`` with the time of their last answered request (client_id, at). Requests are reduced before the join: a client may have most of them."""
+    last = answered.groupBy("client_id").agg(F.max("at").alias("__at"))
+    return clients.join(last, "client_id", "left").withColumn("last_used_at", F.coalesce("__at", "last_used_at")).drop("__at")
+
+
+def grant_refusal(consent_id: Column, purposes: Column) -> Column:
+    """Why a server doesn't take a grant: another purpose, or an id of more than 128 bytes. No purpose at all is taken."""
+    return F.when(F.exists(purposes, lambda p: ~p.eqNullSafe(PURPOSE)) | (F.octet_length(consent_id) > 128), "purpose_not_grantable")
+
+
+def recordable(metadata_id: Column, state: Column, reason: Column) -> Column:
+    """Whether metadata holds tokens alone and so no content. A null reason is none; a null id or state isn't recordable."""
+    ok = lambda c, most: c.rlike(T.METADATA) & (F.length(c) <= most)
+    return F.coalesce(ok(metadata_id, 128), F.lit(False)) & F.coalesce(ok(state, 64), F.lit(False)) & F.coalesce(ok(reason, 64), reason.isNull())
+
+
+def outcome_record(outcome: Column, version: Column, reason: Column, evaluation: Column) -> Column:
+    """A training outcome as JSON; a cancelled one has no more fields, an unknown one is null."""
+    record = lambda *fields: F.to_json(F.struct(outcome.alias("outcome"), *fields), {"ignoreNullFields": "false"})
+    full = evaluation.alias("evaluation")
+    return F.when(outcome == "delivered", record(version.alias("model_version"), full)).when(outcome == "kept_base_model", record(reason.alias("reason"), full)).when(outcome == "cancelled", record())
+
+
+def artifact_reason(content: Column, size: Column, sha256: Column) -> Column:
+    """Whether a file (as ``binaryFile`` reads it) is what its specification says: the size first, then the digest."""
+    return first_reason([("size_mismatch", F.octet_length(content) != size), ("checksum_mismatch", F.sha2(content, 256) != sha256)])

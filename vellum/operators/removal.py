@@ -16,6 +16,8 @@ from vellum.operators.control import first_reason
 #: Fixed values, in samples of 16 kHz: a pause that ends a sentence (700 ms), the padding of a removal (250 ms).
 PAUSE, PADDING = 11_200, 4000
 KEY = ["session_id"]
+#: Problems of timings that refuse a whole session.
+FATAL = ("overlapping_or_nonmonotonic", "word_outside_audio", "zero_length_word", "empty_word_text")
 
 
 def with_sentences(words: DataFrame, pause: int = PAUSE) -> DataFrame:
@@ -122,6 +124,24 @@ def session_reason(clips: Column, total: Column, least_ms: int = 1500, most_ms:
     return first_reason([("no_retained_clips", clips == 0), ("retained_audio_too_short", total < least_ms), ("retained_audio_too_long", total > most_ms)])
 
 
+def early_reason(analysis_reason: Column, uncertain: Column, words: Column, samples: Column, language: Column, silent: Column, problems: Column) -> Column:
+    """Why a session is refused before anything is cut, in this order: what the analysis said, an uncertain
+    analysis, no words, no audio, another language, silence, timings that can't be used. ``problems`` are those of
+    ``alignment_problems``, null if none. Unknown language and length are refused, unknown flags are not.
+    """
+    checks = [
+        ("uncertain_analysis", uncertain), ("empty_transcript", F.coalesce(words, F.lit(0)) == 0), ("no_audio", F.coalesce(samples, F.lit(0)) == 0), ("language_not_validated", F.coalesce(language != "en", F.lit(True))),
+        ("session_silent", silent), ("alignment_unusable", F.arrays_overlap(problems, F.array(*map(F.lit, FATAL)))),
+    ]
+    return F.coalesce(analysis_reason, first_reason(checks))
+
+
+def spliced(made: DataFrame) -> DataFrame:
+    """(session_id, text): the texts of the clips that pass their gates, in order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("clip_ix", "text"))), lambda x: x["text"])
+    return made.where("reason IS NULL").groupBy("session_id").agg(F.array_join(ordered, " ").alias("text"))
+
+
 def clips(words: DataFrame, retained: DataFrame) -> DataFrame:
     """A row per retained interval: its index, length, words, text, mean confidence, speech ratio and the gate it fails."""
     inside = clip_words(words, retained)
@@ -145,11 +165,12 @@ def content_hash(ix: Column, text: Column) -> Column:
     return F.sha2(F.array_join(ordered, ""), 256)
 
 
-def session_results(sessions: DataFrame, made: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+def session_results(sessions: DataFrame, made: DataFrame, seen: DataFrame | None = None, unclean: DataFrame | None = None) -> DataFrame:
     """(session_id, reason, clips, words, duration_ms, mean_confidence, content_hash).
 
     ``sessions`` has session_id and early_reason (null where nothing spoke against it before). Of sessions
-    with the same content the smallest id stays; ``seen`` holds hashes of earlier ones.
+    with the same content the smallest id stays; ``seen`` holds hashes of earlier ones. ``unclean`` has the
+    session_id of those whose retained text was checked once more and isn't clean.
     """
     good = made.where("reason IS NULL").groupBy("session_id").agg(
         F.count("*").alias("clips"), F.sum("word_count").alias("words"), F.sum("duration_ms").alias("duration_ms"), weighted_mean(F.col("mean_confidence"), F.col("word_count")).alias("mean_confidence"),
@@ -159,6 +180,9 @@ def session_results(sessions: DataFrame, made: DataFrame, seen: DataFrame | None
     rows = sessions.join(any_clip, "session_id", "left").join(good, "session_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     reason = F.coalesce("early_reason", first_reason([("fully_redacted", F.col("__any").isNull())]), session_reason(zero("clips"), zero("duration_ms")))
+    if unclean is not None:
+        rows = rows.join(unclean.select("session_id").distinct().withColumn("__unclean", F.lit(True)), "session_id", "left")
+        reason = F.coalesce(reason, first_reason([("sensitive_after_removal", F.col("__unclean"))]))
     rows = rows.withColumn("reason", reason)
     first = rows.where("reason IS NULL").groupBy("content_hash").agg(F.min("session_id").alias("__first"))
     rows = rows.join(first, "content_hash", "left")

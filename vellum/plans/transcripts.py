@@ -159,7 +159,11 @@ def _training_copies(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:
     """The outcome per document: why it is refused, or its clips, words, length and content hash."""
     docs = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
     early = first_reason([("empty_transcript", F.size(T.words(F.col("text"))) == 0), ("language_not_validated", F.coalesce(F.col("lang") != "en", F.lit(True)))])
-    out = removal.session_results(docs.select(F.col("doc_id").alias("session_id"), early.alias("early_reason")), _clips(spark, sf_dir, full))
+    made, unclean = _clips(spark, sf_dir, full), None
+    if full:  # what is left is checked once more
+        made = kept(made)
+        unclean = detect.hits(detect.transcripts(removal.spliced(made), "session_id"))
+    out = removal.session_results(docs.select(F.col("doc_id").alias("session_id"), early.alias("early_reason")), made, unclean=unclean)
     return out.select(F.col("session_id").alias("doc_id"), "reason", "clips", "words", "duration_ms", "content_hash")
 
 
