@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_snapshots, decontaminate, host_reputation, language_fusion, line_dedup, ngram_join, pattern_packing, ppm, quality_rules, suffix_dedup, urls
+from . import chat_snapshots, collocations, decontaminate, host_reputation, language_fusion, line_dedup, ngram_join, pattern_packing, ppm, quality_rules, source_mixing, suffix_dedup, turn_repair, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,20 @@ def op10_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_fusion.identify(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_read(spark, sf_dir, "documents"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.digest(_read(spark, sf_dir, "conversations"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality weights: 1 for documents labelled good, 0.25 for bad ones, 0.5 for the others."""
+    docs = source_mixing.label_weight(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), _read(spark, sf_dir, "labels"))
+    return source_mixing.mix(docs).drop("source")
+
+
 def _strength_sql(name: str, rows: str) -> str:
     """A CTE with one row v: how strong the prior is over rows of n, bad, pn, pbad (see ``host_reputation``)."""
     return f"""{name} AS (
@@ -115,8 +129,8 @@ FROM o LEFT JOIN h2 USING (host)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_line_dedup, op4_decontaminate, op5_ppm, op6_suffix_dedup, op7_chat_snapshots, op8_pattern_packing, op9_host_reputation, op10_language_fusion)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_line_dedup, op4_decontaminate, op5_ppm, op6_suffix_dedup, op7_chat_snapshots, op8_pattern_packing, op9_host_reputation, op10_language_fusion, op11_collocations, op12_turn_repair, op13_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op7_chat_snapshots": chat_snapshots.ORACLE_SQL, "op9_host_reputation": HOST_SQL}
+    return {"op3_line_dedup": line_dedup.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op7_chat_snapshots": chat_snapshots.ORACLE_SQL, "op9_host_reputation": HOST_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_turn_repair": turn_repair.ORACLE_SQL, "op13_source_mixing": source_mixing.ORACLE_SQL}
