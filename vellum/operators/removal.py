@@ -62,14 +62,16 @@ def touched_sentences(words: DataFrame, spans: DataFrame) -> DataFrame:
     return found.select("session_id", F.explode(F.sequence("a", "b")).alias("sentence_ix")).distinct()
 
 
-def removed_words(words: DataFrame, dropped: DataFrame, bounds: DataFrame, padding: int = PADDING) -> DataFrame:
-    """``words`` with ``removed``: those of dropped sentences and all that padded cuts reach, to the fixed point.
+def removed_words(words: DataFrame, dropped: DataFrame, bounds: DataFrame, padding: int = PADDING, own: DataFrame | None = None) -> DataFrame:
+    """``words`` with ``removed``: those of dropped sentences, those of ``own`` (session_id, word_id), and all that padded cuts reach, to the fixed point.
 
     Words nearer to each other than the padding form islands; a cut that touches one takes all of it.
     That needs words in time order, which ``alignment_problems`` tells. Words without length go if they
     lie strictly inside a cut.
     """
     seeded = words.join(dropped.withColumn("__seed", F.lit(1)), ["session_id", "sentence_ix"], "left").join(bounds.select("session_id", "low", "high"), "session_id")
+    if own is not None:
+        seeded = seeded.join(own.select("session_id", "word_id", F.lit(1).alias("__own")), ["session_id", "word_id"], "left").withColumn("__seed", F.coalesce("__seed", "__own")).drop("__own")
     w = Window.partitionBy("session_id", "__long").orderBy("start", "word_id")
     rows = seeded.withColumn("__long", F.col("end") > F.col("start"))
     rows = rows.withColumn("__new", F.coalesce(F.col("start") - F.lag("end").over(w) >= padding, F.lit(True)).cast("int"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import more, records, tables, transcripts, upkeep
+from vellum.plans import cascade, more, records, tables, transcripts, upkeep
 
-_MODULES = (transcripts, tables, records, more, upkeep)
+_MODULES = (transcripts, cascade, tables, records, more, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

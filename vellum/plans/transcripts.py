@@ -52,7 +52,11 @@ def identifier_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sessions = detect.transcripts(read(spark, sf_dir, "documents"))
+    return word_hits(detect.transcripts(read(spark, sf_dir, "documents")))
+
+
+def word_hits(sessions: DataFrame) -> DataFrame:
+    """Hits of the detectors that find single words, over transcripts."""
     text = F.array_join("display", " ")
     parts = [detect.as_hits(detect.matches(text, p), c, d) for d, c, p in rules.PATTERNS if d in WORD_DETECTORS]
     return sessions.select("session_id", F.explode(F.concat(*parts, detect.entropy_hits(text))).alias("h")).select("session_id", "h.*")
