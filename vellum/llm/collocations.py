@@ -37,6 +37,8 @@ PIECE_END[[*b".,;:!?", 10, 11, 12, 13]] = True
 SHARD_WORDS = 1 << 20
 LOG2_BITS = 27
 TEXT_BYTES = 1 << 20
+#: Rows of phrases that a task holds to add up over its shards.
+HELD_ROWS = 1 << 20
 
 
 class Shard:
@@ -134,7 +136,7 @@ def shards(batches: Iterator[pa.RecordBatch], values: np.ndarray, most: int = SH
 
     def release() -> Shard:
         hashes, codes, ends = (np.concatenate([x[k] for x in held]) for k in range(3))
-        return Shard(hashes, codes, ends, list(names))
+        return Shard(hashes, codes, ends, list(names))  # codes are the task's, alike in all its shards
 
     for batch, data, offsets in chunks(batches, limit=TEXT_BYTES):
         words = word_table(data, offsets, values)
@@ -144,11 +146,22 @@ def shards(batches: Iterator[pa.RecordBatch], values: np.ndarray, most: int = SH
         size += len(words.hash)
         if size >= most:
             yield release()
-            held, names, size = [], {}, 0
+            held, size = [], 0
     if size:
         yield release()
 
 
+def added(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Rows of (key columns ..., count) of several tables, the counts of equal keys added."""
+    *keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort(keys[::-1])
+    keys, n = [x[order] for x in keys], n[order]
+    new = np.ones(len(n), dtype=bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+    first = np.flatnonzero(new)
+    return [*(x[first] for x in keys), np.add.reduceat(n, first) if len(n) else n]
+
+
 def word_table(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> Words:
     return Words(np.where(PIECE_END[data], np.uint8(10), data), offsets, values)
 
@@ -225,16 +238,34 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, log2_bits
     ids = [f"w{k}" for k in range(longest)]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = [*passed.value, None, None]
+        frequent, names = [*passed.value, None, None], []
+        held: dict[int, list[list[np.ndarray]]] = {m: [] for m in range(2, longest + 1)}
+        size = 0
+
+        def release() -> Iterator[pa.RecordBatch]:
+            for m, parts in held.items():
+                if parts:
+                    code, *keys, n = added(parts)
+                    lang = pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
+                    columns = [pa.array(x.view(np.int64)) for x in keys] + [pa.nulls(len(n), pa.int64())] * (longest - m)
+                    yield pa.RecordBatch.from_arrays([lang, *columns, pa.array(n)], ["lang", *ids, "n"])
+                parts.clear()
+
         for shard in shards(batches, values, shard_words):
+            names = shard.names
             run = shard.runs(longest, *frequent[:3])
             order, lcp = suffix_array(shard.hash, shard.code, run, longest)
-            for m in range(2, longest + 1):
+            for m, parts in held.items():
                 at, n = intervals(order, lcp, run, m)
-                if len(at):
-                    lang = pa.DictionaryArray.from_arrays(pa.array(shard.code[at].astype(np.int32)), pa.array(shard.names, pa.string())).cast(pa.string())
-                    columns = [pa.array(shard.hash[at + k].view(np.int64)) if k < m else pa.nulls(len(at), pa.int64()) for k in range(longest)]
-                    yield pa.RecordBatch.from_arrays([lang, *columns, pa.array(n)], ["lang", *ids, "n"])
+                parts.append([shard.code[at], *(shard.hash[at + k] for k in range(m)), n])
+                size += len(at)
+            if size > HELD_ROWS:  # equal phrases of the task's shards become one row
+                held = {m: [added(parts)] for m, parts in held.items()}
+                size = sum(len(parts[0][0]) for parts in held.values())
+                if size > HELD_ROWS // 2:
+                    yield from release()
+                    size = 0
+        yield from release()
 
     found = docs.mapInArrow(gather, f"lang string, {', '.join(f'{x} long' for x in ids)}, n long").groupBy("lang", *ids).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     phrases = materialize(found.select("lang", F.filter(F.array(*ids), lambda x: x.isNotNull()).alias("ids"), "n"), "phrases")
