@@ -80,8 +80,7 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality weights: 1 for documents labelled good, 0.25 for bad ones, 0.5 for the others."""
-    docs = source_mixing.label_weight(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), _read(spark, sf_dir, "labels"))
-    return source_mixing.mix(docs).drop("source")
+    return source_mixing.mix(_read(spark, sf_dir, "documents"), source_mixing.label_weights(_read(spark, sf_dir, "labels"))).drop("source")
 
 
 def _strength_sql(name: str, rows: str) -> str:

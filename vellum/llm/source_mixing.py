@@ -16,7 +16,7 @@ Sources are ranked and given targets over a table of one small row each.
 Defined cases: a null or empty text has size 0 and is never taken for words; a null source is a source of
 its own, last in order; a row without an id draws by its text; a repeated row (same id, source and text)
 is a document of its own with a key of its own; sources without words have target 0. A weight that is
-null or not above 0 counts as ``least_weight``. Other columns are not read.
+null counts as ``unknown``, one that is NaN or less than ``least_weight`` as that. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,10 +36,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def label_weight(docs: DataFrame, labels: DataFrame, good: float = 1.0, unknown: float = 0.5, bad: float = 0.25, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with a ``weight`` by labelled quality; labels of one id that disagree count as bad."""
-    judged = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias(id_col)).agg(F.min("quality").alias("quality"))
-    return docs.join(judged.select(id_col, F.when(F.col("quality") > 0, good).otherwise(bad).alias("weight")), id_col, "left").fillna(unknown, ["weight"])
+def label_weights(labels: DataFrame, good: float = 1.0, bad: float = 0.25) -> DataFrame:
+    """(doc_id, weight) by labelled quality; labels of one id that disagree count as bad."""
+    judged = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return judged.select("doc_id", F.when(F.col("quality") > 0, good).otherwise(bad).alias("weight"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most_epochs: int = 2) -> DataFrame:
@@ -61,12 +61,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int
     return shares.select("source", "source_size", F.when(F.col("is_full"), F.col("cap").cast("double")).otherwise(F.col("w").cast("double") * F.col("level.left") / F.col("level.open")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most_epochs: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weight_col: str = "weight", least_weight: float = 0.01, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken; ``docs`` has a column of quality weights."""
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most_epochs: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", unknown: float = 0.5, least_weight: float = 0.01, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, taken.
+
+    ``quality`` has a weight for a doc_id, once each; documents without one have the weight ``unknown``.
+    Texts are measured before anything is shuffled.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    weight = F.greatest(F.coalesce(F.nanvl(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(least_weight))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.encode(text, "utf-8")).alias("sha"), weight.alias("weight"))
-    grouped = materialize(rows.groupBy("doc_id", "source", "size", "sha").agg(F.count("*").alias("copies"), F.max("weight").alias("weight")), "sized")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.encode(text, "utf-8")).alias("sha"))
+    grouped = rows.groupBy("doc_id", "source", "size", "sha").agg(F.count("*").alias("copies"))
+    grouped = grouped.withColumn("weight", F.lit(None).cast("double")) if quality is None else grouped.join(quality.select("doc_id", F.col("weight").cast("double").alias("weight")), "doc_id", "left")
+    weight = F.greatest(F.coalesce(F.nanvl("weight", F.lit(0.0)), F.lit(unknown)), F.lit(least_weight))
+    grouped = materialize(grouped.withColumn("weight", weight), "sized")
     single = grouped.where("copies = 1").withColumn("copy", F.lit(1).cast("long"))
     # Copies of one row are numbered in blocks, dealt out before they become rows.
     blocks = grouped.where("copies > 1").withColumn("block", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES_AT_ONCE})"))).repartition(shuffle_parts(docs.sparkSession), "sha", "block")
