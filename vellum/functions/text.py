@@ -66,13 +66,14 @@ def iban(compact: Column) -> Column:
     turned = F.concat(F.substr(upper, F.lit(5)), F.substring(upper, 1, 4))
     value = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
     rest = F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda s, c: (s * F.when(value(c) >= 10, 100).otherwise(10) + value(c)) % 97)
-    return F.when(upper.rlike(r"^[A-Z]{2}[A-Z0-9]{13,32}$"), rest == 1).otherwise(False)
+    return F.when(upper.rlike(r"\A[A-Z]{2}[A-Z0-9]{13,32}\z"), rest == 1).otherwise(False)
 
 
-SAFE_ENTRY = r"^[A-Za-z0-9._-]{1,64}$"
-DIGEST = r"^[0-9a-fA-F]{64}$"
-SAMPLE_ID = r"^sample-([0-9a-fA-F]{16}|[0-9a-fA-F]{32})$"
-IDEMPOTENCY_KEY = r"^[A-Za-z0-9_-]{8,128}$"
+#: \A and \z: the whole name. $ would also match before a last line feed.
+SAFE_ENTRY = r"\A[A-Za-z0-9._-]{1,64}\z"
+DIGEST = r"\A[0-9a-fA-F]{64}\z"
+SAMPLE_ID = r"\Asample-([0-9a-fA-F]{16}|[0-9a-fA-F]{32})\z"
+IDEMPOTENCY_KEY = r"\A[A-Za-z0-9_-]{8,128}\z"
 METADATA = r"\A[a-z0-9_:.-]+\z"
 
 

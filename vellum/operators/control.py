@@ -287,7 +287,7 @@ def delivery_reason(installed: str, budget: int, form: str) -> Column:
     bad = lambda c: F.coalesce(c, F.lit(True))
     return first_reason([
         ("bad_signature", bad(~F.col("signed"))), ("incompatible_base", bad(F.col("base") != installed)), ("unsupported_format", bad(F.col("format") != form)), ("exceeds_device_budget", bad(F.col("memory") > budget)),
-        ("evaluation_not_accepted", bad(~F.col("accepted"))), ("malformed_manifest", bad((F.length("sha256") != 64) | ~F.col("version").rlike("^[A-Za-z0-9-]{1,64}$"))),
+        ("evaluation_not_accepted", bad(~F.col("accepted"))), ("malformed_manifest", bad((F.length("sha256") != 64) | ~F.col("version").rlike(r"\A[A-Za-z0-9-]{1,64}\z"))),
     ])
 
 

@@ -78,7 +78,7 @@ def kind_of(record: Column, key: str) -> Column:
 def number_of(record: Column, key: str) -> Column:
     """A whole number of a record that is written as one; null for anything else."""
     raw = F.get_json_object(record, f"$.{key}")
-    return F.when((kind_of(record, key) == "BIGINT") & raw.rlike(r"^[0-9]{1,18}$"), raw.cast("long"))
+    return F.when((kind_of(record, key) == "BIGINT") & raw.rlike(r"\A[0-9]{1,18}\z"), raw.cast("long"))
 
 
 def string_of(record: Column, key: str) -> Column:

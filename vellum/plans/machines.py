@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators import machines, recording
+from vellum.operators import machines, recording, resample, splice
 from vellum.plans.tables import read
 
 _RECORDING = ("hold_down", "capture_started", "lock", "hold_up", "stop", "finalized", "delivered", "toggle", "cancel", "failed", "capture_started", "reset")
@@ -73,11 +73,28 @@ def preempted_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.preempted(checks, busy, width=3600)
 
 
-QUERIES = (recording_limits, shortcut_events, pairing_answers, live_phases, partial_passes, online_speech, preempted_jobs)
+#: From and to, in samples a second.
+RATES = (44_100, 16_000)
+
+
+def resampled_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A supplier's lines as samples, in chunks of fifty orders, at another rate."""
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", F.floor(F.col("l_orderkey") / 50).alias("seq"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("at"), (F.col("l_partkey") % 2000 - 1000).alias("value"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"])
+    chunks = lines.groupBy(F.col("l_suppkey").alias("session_id"), "seq").agg(listed.alias("samples"))
+    out = resample.resampled(chunks, *RATES)
+    return out.select(F.col("session_id").alias("l_suppkey"), "first", F.posexplode("samples").alias("k", "value")).select("l_suppkey", (F.col("first") + F.col("k")).alias("n"), F.col("value").cast("long").alias("value"))
+
+
+QUERIES = (resampled_audio, recording_limits, shortcut_events, pairing_answers, live_phases, partial_passes, online_speech, preempted_jobs)
 
 _MOVES = ", ".join(f"('{s}', '{e}', '{after}', {str(reason is None).lower()})" for (s, e), (after, _, reason) in recording.table().items())
 _SECOND = "floor(epoch(ts))::BIGINT"
 SQL = {
+    "resampled_audio": f"""WITH x AS (SELECT l_suppkey AS s, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS i, l_partkey % 2000 - 1000 AS v FROM lineitem),
+w AS (SELECT unnest({splice.low_pass_weights(*RATES)}::DOUBLE[]) AS w, unnest(range(63)) AS k),
+o AS (SELECT s, i, i * {RATES[1]} // {RATES[0]} AS n FROM x WHERE (i + 1) * {RATES[1]} // {RATES[0]} > i * {RATES[1]} // {RATES[0]})
+SELECT o.s AS l_suppkey, n, least(32767, greatest(-32768, round(sum(x.v * w.w))))::BIGINT AS value FROM o JOIN w ON true JOIN x ON x.s = o.s AND x.i = o.i - 62 + w.k GROUP BY o.s, n""",
     "recording_limits": f"""WITH RECURSIVE moves(s, event, t, ok) AS (VALUES {_MOVES}),
 e AS (SELECT user_id, {_SECOND} * 1000 AS "at", ({list(_RECORDING)})[event_id % 12 + 1] AS event, event_id % 7 <> 0 AS named FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "at", event, named) AS i FROM e UNION ALL SELECT user_id, 1::BIGINT << 61, NULL, false, count(*) + 1 FROM e GROUP BY user_id),

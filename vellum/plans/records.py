@@ -44,6 +44,23 @@ def sample_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What may follow a name: nothing, characters that end a line, blanks, letters that are no ASCII.
+_ENDS = ("", "\n", "\r", "\u2028", "\r\n", " ", "\u0130", "\x00", "\u00e9")
+
+
+def odd_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, keys, digests and ids with what must not follow or precede them."""
+    k = F.col("o_orderkey")
+    end = F.element_at(F.array(*map(F.lit, _ENDS)), (k % len(_ENDS) + 1).cast("int"))
+    odd = lambda name: F.when(k % 2 == 0, F.concat(name, end)).otherwise(F.concat(end, name))
+    digest = F.sha2(k.cast("string"), 256)
+    return read(spark, sf_dir, "orders").select(
+        k, odd(F.concat(F.lit("key_"), k.cast("string"), F.lit("-ab"))).rlike(T.IDEMPOTENCY_KEY).alias("key_ok"), T.safe_entry(odd(F.concat(F.lit("clip."), k.cast("string")))).alias("entry_ok"),
+        odd(F.substring(digest, 1, 63 + 2)).rlike(T.DIGEST).alias("digest_ok"), odd(F.concat(F.lit("sample-"), F.substr(digest, F.lit(1), F.when(k % 5 == 0, 16).when(k % 5 == 1, 17).otherwise(32)))).rlike(T.SAMPLE_ID).alias("sample_ok"),
+        odd(F.lit("a-b_c")).rlike(T.METADATA).alias("metadata_ok"),
+    )
+
+
 def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn's words joined again, no space before a closing mark."""
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(T.joined(T.words(F.col("text"))), 256).alias("joined"), F.size(T.words(F.col("text"))).cast("long").alias("n_words"))
@@ -91,7 +108,7 @@ def package_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return package.clips_of(_packages(spark, sf_dir)).select("package_id", "clip_ix", "audio_name", F.octet_length("audio").alias("audio_bytes"), F.col("text").cast("string").alias("text"))
 
 
-QUERIES = (package_reasons, package_clips, manifest_reasons, forbidden_keys, sample_ids, display_texts, classifier_windows)
+QUERIES = (package_reasons, package_clips, manifest_reasons, forbidden_keys, sample_ids, odd_names, display_texts, classifier_windows)
 SQL = {
     "package_reasons": """SELECT s_suppkey AS package_id, CASE s_suppkey % 20 WHEN 1 THEN 'package_checksum_coverage_mismatch' WHEN 2 THEN 'package_duration_mismatch' WHEN 3 THEN 'quality_metrics_mismatch' WHEN 4 THEN 'invalid_quality_metric'
   WHEN 5 THEN 'clip_duration_mismatch' WHEN 6 THEN 'clip_word_count_mismatch' WHEN 7 THEN 'invalid_clip_text' WHEN 8 THEN 'invalid_wav' WHEN 9 THEN 'invalid_wav_format' WHEN 10 THEN 'package_checksum_mismatch' WHEN 11 THEN 'unsafe_clip_filename'
@@ -104,6 +121,8 @@ SQL = {
     "forbidden_keys": "SELECT s_suppkey, CASE WHEN s_suppkey % 13 = 0 THEN 'path' END AS found FROM supplier",
     "sample_ids": """SELECT c_custkey, length('key-' || c_custkey) BETWEEN 8 AND 128 AS key_ok, c_custkey % 4 <> 0 AND regexp_full_match(c_mktsegment || '.x', '[A-Za-z0-9._-]{1,64}') AS entry_ok, true AS digest_ok, sha256(c_name) AS digest,
   regexp_replace(c_name, '[^0-9]', '', 'g') AS digits FROM customer""",
+    "odd_names": """WITH o AS (SELECT o_orderkey, o_orderkey % 9 = 0 AS clean, o_orderkey % 5 AS m FROM orders)
+SELECT o_orderkey, clean AND length('key_' || o_orderkey || '-ab') BETWEEN 8 AND 128 AS key_ok, clean AS entry_ok, clean AS digest_ok, clean AND m <> 1 AS sample_ok, clean AS metadata_ok FROM o""",
     "display_texts": rf"""WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(coalesce(text, ''), '{T.SPACES}'), lambda x: x <> '') AS w FROM conversations)
 SELECT conv_id, turn, sha256(regexp_replace(array_to_string(w, ' '), ' ([,.!?;:])', '\1', 'g')) AS joined, len(w) AS n_words FROM t""",
 }

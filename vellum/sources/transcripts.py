@@ -133,7 +133,7 @@ def read_archives(spark: SparkSession, path: str, most_entries: int = 512, most_
                         return "archive_too_large", None, None
                     if not entry.isreg():
                         return "archive_entry_not_file", None, None
-                    if not re.fullmatch(T.SAFE_ENTRY[1:-1], entry.name) or ".." in entry.name:
+                    if not re.fullmatch(T.SAFE_ENTRY[2:-2], entry.name) or ".." in entry.name:
                         return "archive_entry_name", None, None
                     if entry.name in files:
                         return "archive_entry_duplicate", None, None
