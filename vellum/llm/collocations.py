@@ -34,11 +34,11 @@ from .text import U, Words, byte_values, chunks, folded, grams, mix
 #: Bytes that end a piece: .,;:!? and line ends. Blanks and tabs part words.
 PIECE_END = np.zeros(256, dtype=bool)
 PIECE_END[[*b".,;:!?", 10, 11, 12, 13]] = True
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 LOG2_BITS = 27
 TEXT_BYTES = 1 << 20
 #: Rows of phrases that a task holds to add up over its shards.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 19
 
 
 class Shard:
