@@ -46,3 +46,16 @@ def test_held_out_labels(spark):
     good, bad = trees.score(x[test & (y == 1)]), trees.score(x[test & (y == 0)])
     if len(good) and len(bad):
         assert (good[:, None] > bad).mean() + 0.5 * (good[:, None] == bad).mean() > 0.7
+
+
+def test_the_sample_keeps_its_bound(spark, monkeypatch):
+    """An id repeated thousands of times, with one text or many, takes one place; ids without a document take none."""
+    seen = []
+    monkeypatch.setattr(quality_rules, "fit", lambda x, y, signs: seen.append((len(x), sorted(y))))
+    rows = [(1, "same text")] * 5000 + [(2, f"other text {k}") for k in range(5000)] + [(3, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (7, 1), (8, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    quality_rules.fit_labelled(docs, labels)
+    quality_rules.fit_labelled(docs, labels.where("doc_id < 3"), max_labelled=2)
+    quality_rules.fit_labelled(docs, labels.where("doc_id IN (1, 2)"), max_labelled=1)  # one kind of label: no model
+    assert seen == [(3, [0.0, 1.0, 1.0]), (2, [0.0, 1.0])]

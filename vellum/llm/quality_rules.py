@@ -174,20 +174,29 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int], rounds: int = 80, depth:
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = 10_000, id_col: str = "doc_id", text_col: str = "text") -> Trees | None:
-    """Fit on the statistics of at most ``max_labelled`` labelled documents; the sample's size bounds what reaches the driver."""
+    """Fit on the statistics of at most ``max_labelled`` labelled documents, which bounds what reaches the driver.
+
+    A label counts once for each id; an id with labels that disagree counts as the higher. Of documents that
+    share an id one counts, that of the least text hash. The sample is the least hashes of ids among the
+    documents that are there: it is taken after the join, so an id that is repeated takes one place.
+    """
     bounded_arrow(docs.sparkSession)
-    sample = (
-        labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
-        .orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
-    )
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id")
+    judged = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
+    place = F.struct(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    # Only ids and hashes are sorted and cut off; texts come to the sample, which is small enough to go to them.
+    there = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(place).alias("__one"))
+    sample = there.join(judged, "__id").orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), place.alias("__one"))
+    rows = texts.join(F.broadcast(sample), ["__id", "__one"]).select("__id", "__y", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches):
             x = statistics(data, offsets)["features"]
-            yield pa.RecordBatch.from_arrays([batch.column("__y").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(x.ravel(), len(FEATURES)).cast(pa.list_(pa.float64()))], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id").cast(pa.int64()), batch.column("__y").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(x.ravel(), len(FEATURES)).cast(pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    found = rows.mapInArrow(measure, "y int, x array<double>").toPandas()
+    # Rows that are equal to the last byte are one as well.
+    measured = rows.mapInArrow(measure, "id long, y int, x array<double>").groupBy("id").agg(F.first("y").alias("y"), F.first("x").alias("x"))
+    found = measured.orderBy(F.xxhash64("id"), "id").toPandas()
     y = found["y"].to_numpy(dtype=float) if len(found) else np.zeros(0)
     if not 0 < y.sum() < len(y):
         return None
