@@ -191,3 +191,21 @@ def test_packing(spark, case):
 def test_registered_queries_name_their_contracts():
     assert [x.split("_")[0] for x in queries.queries()] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_winnowing_keeps_the_least_gram_of_every_window(spark):
+    """By hand over gram hashes: the last of equal ones, and about two in five."""
+    span, k = 10, decontaminate.GRAM
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, n) % 50) for n in (5, 9, 10, 11, 400, 4000)] + ["the the " * 40]
+    h, g = F.col("h"), F.col("g")
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").select("n", decontaminate.word_hashes(F.col("text")).alias("h")).select("n", decontaminate.gram_hashes(h).alias("g"))
+    grams = {r["n"]: r["g"] for r in rows.collect()}
+    kept = rows.select("n", "g", F.posexplode(g).alias("i", "x")).where(decontaminate._kept(g, F.col("i"), F.col("x"), span)).select("n", "i").collect()
+    w = span - k + 1
+    for n, values in grams.items():
+        assert len(values) == max(0, len(texts[n].split()) - k + 1)
+        expected = {max(range(a, a + w), key=lambda j: (-values[j], j)) for a in range(len(values) - w + 1)}
+        assert {r["i"] for r in kept if r["n"] == n} == expected
+    share = sum(r["n"] == 5 for r in kept) / len(grams[5])
+    assert 0.3 < share < 0.5

@@ -1,8 +1,8 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-A text's words are hashed; a k-gram is ordered by the hash of its first word and named by the hash of
-all its words. In every window of w consecutive k-grams those of least order are kept (ties all), so
-two texts that share a span of k + w - 1 words keep a common k-gram there. Kept k-grams of documents
+A text's words are hashed, and each k-gram is named by the hash of its words. Of every window of w
+consecutive k-grams the one of least hash is kept, the last of equal ones, so two texts that share a
+span of k + w - 1 words keep a common k-gram there, and about 2 in w + 1 k-grams are kept. Kept k-grams of documents
 that occur among the benchmark's kept ones are extended: each span of k + w - 1 words around one is
 compared with the spans of the benchmark's items. With k + w - 1 = ``span`` every shared span of that
 length is found. Items of fewer words than a span are looked up whole, at positions of their first
@@ -47,13 +47,18 @@ def _at(h: Column, i: Column | int, n: int) -> Column:
     return F.xxhash64(*(F.get(h, i + k) for k in range(n)))
 
 
-def _kept(h: Column, i: Column, x: Column, span: int) -> Column:
-    """Whether some window of k-grams has its least order at position i, where the word's hash is x."""
+def gram_hashes(h: Column) -> Column:
+    """The hash of each k-gram, made once for each position."""
+    return F.transform(F.slice(h, 1, F.greatest(F.lit(0), F.size(h) - (GRAM - 1))), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, GRAM))))
+
+
+def _kept(g: Column, i: Column, x: Column, span: int) -> Column:
+    """Whether some window of k-grams has its least hash at position i, where it is x; of equal ones the last."""
     w = span - GRAM + 1
-    last = F.size(h) - span
+    last = F.size(g) - w
 
     def leads(a: int) -> Column:  # the window that begins a k-grams before
-        others = [x <= F.get(h, i + d) for d in range(-a, w - a) if d]
+        others = [x <= F.get(g, i + d) if d < 0 else x < F.get(g, i + d) for d in range(-a, w - a) if d]
         return reduce(lambda p, q: p & q, others, (i >= a) & (i - a <= last))
 
     return F.coalesce(reduce(lambda p, q: p | q, (leads(a) for a in range(w))), F.lit(False))
@@ -81,16 +86,17 @@ def item_windows(benchmark: DataFrame, span: int = 10, id_col: str = "item_id",
 
 def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, block: int = 1_000_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(occurrences of item windows in keyed documents: key, start, length, window; the windows' items: length, window, item_id)."""
-    h, i = F.col("h"), F.col("i")
+    h, g, i = F.col("h"), F.col("g"), F.col("i")
     windows = materialize(item_windows(benchmark, span, item_id, item_text), "windows")
     items = windows.select("length", "window", "item_id").distinct()
     long, short = windows.where(F.col("length") == span), windows.where(F.col("length") < span)
-    bodies = benchmark.select(word_hashes(F.col(item_text)).alias("h")).where(F.size(h) >= span).select("h", F.posexplode(h).alias("i", "x"))
-    prints = materialize(bodies.where(_kept(h, i, F.col("x"), span)).select(_at(h, i, GRAM).alias("print")).distinct(), "prints")
-    places = docs.select(ID, TEXT_HASH, word_hashes(F.col(text_col)).alias("h")).where(F.size(h) > 0).select(ID, TEXT_HASH, "h", F.posexplode(h).alias("i", "x"))
+    bodies = benchmark.select(word_hashes(F.col(item_text)).alias("h")).where(F.size(h) >= span).select(gram_hashes(h).alias("g")).select("g", F.posexplode(g).alias("i", "print"))
+    prints = materialize(bodies.where(_kept(g, i, F.col("print"), span)).select("print").distinct(), "prints")
+    texts = docs.select(ID, TEXT_HASH, word_hashes(F.col(text_col)).alias("h"))
 
     found = []
-    kept = places.where(_kept(h, i, F.col("x"), span)).withColumn("print", _at(h, i, GRAM))
+    places = texts.where(F.size(h) >= span).withColumn("g", gram_hashes(h)).select(ID, TEXT_HASH, "h", "g", F.posexplode(g).alias("i", "print"))
+    kept = places.where(_kept(g, i, F.col("print"), span)).drop("g")
     for part in _blocks(prints, "print", prints.count(), block):
         met = kept.join(F.broadcast(part), "print").select(ID, TEXT_HASH, "h", F.explode(F.sequence(F.greatest(F.lit(0), i - (span - GRAM)), F.least(i, F.size(h) - span))).alias("start"))
         found.append(met.select(ID, TEXT_HASH, "start", F.lit(span).alias("length"), _at(h, F.col("start"), span).alias("window")))
@@ -98,7 +104,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, block: int = 1_0
     n_heads = heads.count()
     for part in _blocks(heads, "x", n_heads, block) if n_heads else ():
         whole = F.xxhash64(F.slice(h, i + 1, F.col("length")))
-        sizes = places.join(F.broadcast(part.select("x", "length").distinct()), "x").where(i + F.col("length") <= F.size(h))
+        words = texts.where(F.size(h) > 0).select(ID, TEXT_HASH, "h", F.posexplode(h).alias("i", "x"))
+        sizes = words.join(F.broadcast(part.select("x", "length").distinct()), "x").where(i + F.col("length") <= F.size(h))
         found.append(sizes.select(ID, TEXT_HASH, i.alias("start"), "length", whole.alias("window")))
     if not found:
         return docs.select(ID, TEXT_HASH, F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("window")).where(F.lit(False)), items
