@@ -445,3 +445,22 @@ def outcome_record(outcome: Column, version: Column, reason: Column, evaluation:
 def artifact_reason(content: Column, size: Column, sha256: Column) -> Column:
     """Whether a file (as ``binaryFile`` reads it) is what its specification says: the size first, then the digest."""
     return first_reason([("size_mismatch", F.octet_length(content) != size), ("checksum_mismatch", F.sha2(content, 256) != sha256)])
+
+
+def pending(state: Column) -> Column:
+    """Whether a job still has work to do."""
+    return ~state.isin(*TERMINAL)
+
+
+def live_delivery(deliveries: DataFrame, revoked: DataFrame) -> DataFrame:
+    """(tenant_id, version, created_at): each tenant's latest delivery that isn't revoked (version); of equal times the greatest version."""
+    live = deliveries.join(revoked.select("version").distinct(), "version", "left_anti")
+    return last_wins(live.select("tenant_id", "created_at", "version"), ["tenant_id"], ["created_at", "version"]).select("tenant_id", "version", "created_at")
+
+
+def consents_by_age(consents: DataFrame, tenant: str) -> DataFrame:
+    """(tenant, consent_id, place, current): newest first; the newest that isn't revoked is the current one."""
+    newest = Window.partitionBy(tenant).orderBy(F.col("granted_at").desc(), F.col("consent_id").desc())
+    rows = consents.withColumn("place", F.row_number().over(newest).cast("long"))
+    open_ = F.min(F.when(F.col("revoked_at").isNull(), F.col("place"))).over(Window.partitionBy(tenant))
+    return rows.select(tenant, "consent_id", "place", F.coalesce(F.col("place") == open_, F.lit(False)).alias("current"))

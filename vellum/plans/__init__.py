@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import cascade, machines, more, records, tables, transcripts, upkeep
+from vellum.plans import cascade, machines, more, records, tables, transcripts, upkeep, workflows
 
-_MODULES = (transcripts, cascade, machines, tables, records, more, upkeep)
+_MODULES = (transcripts, cascade, machines, tables, records, more, upkeep, workflows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
