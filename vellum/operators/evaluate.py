@@ -47,16 +47,23 @@ def over_redaction(sessions: DataFrame) -> DataFrame:
     return sessions.agg(words.alias("words"), gone.alias("removed"), (gone / F.greatest(words, F.lit(1))).alias("fraction"), F.coalesce(F.sum(F.col("refused").cast("long")), F.lit(0)).alias("refused"))
 
 
+def report(tallied: DataFrame, benign: DataFrame) -> DataFrame:
+    """One row, one JSON document: the tallies by dimension and value, and the benign sessions."""
+    rows = tallied.agg(F.array_sort(F.collect_list(F.struct("dimension", "value", "caught", "total", "recall", "low", "high"))).alias("tallies"))
+    one = F.lit(1).alias("one")
+    return rows.select("tallies", one).join(benign.select(*benign.columns, one), "one").select(F.to_json(F.struct("tallies", F.struct(*benign.columns).alias("benign"))).alias("report"))
+
+
 def word_errors(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
-    """``pairs`` with edits and n_reference, over words in spoken form."""
+    """``pairs`` with edits and n_reference, over words in spoken form; of a pair with more than a million distinct words both are null."""
     # As columns of their own, so that they are worked out once and not for each word.
     rows = pairs.withColumns({"__a": T.spoken_words(F.col(reference)), "__b": T.spoken_words(F.col(hypothesis))})
     rows = rows.withColumn("__both", F.array_distinct(F.concat("__a", "__b")))
-    return rows.withColumns({"edits": T.word_distance(F.col("__a"), F.col("__b"), F.col("__both")), "n_reference": F.size("__a")}).drop("__a", "__b", "__both")
+    return rows.withColumns({"edits": T.word_distance(F.col("__a"), F.col("__b"), F.col("__both")), "n_reference": F.size("__a")}).withColumn("n_reference", F.when(F.col("edits").isNotNull(), F.col("n_reference"))).drop("__a", "__b", "__both")
 
 
 def word_error_rate(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis", by: Sequence[str] = ()) -> DataFrame:
-    """Edits over reference words, of all pairs together; null without reference words."""
+    """Edits over reference words, of all pairs together that can be measured; null without reference words."""
     rows = word_errors(pairs, reference, hypothesis)
     edits, n = F.coalesce(F.sum("edits"), F.lit(0)), F.coalesce(F.sum("n_reference"), F.lit(0))
     return rows.groupBy(*by).agg(edits.alias("edits"), n.alias("n_reference"), (edits / F.nullif(n, F.lit(0))).alias("wer"))

@@ -166,6 +166,15 @@ def benign_over_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.over_redaction(rows)
 
 
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cases by status and priority, caught where cheap, with the benign lines: one JSON document, and what it holds."""
+    cases = read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", (F.col("o_totalprice") < 100_000).alias("hit"))
+    tallied = evaluate.tallies(cases, ["o_orderstatus", "o_orderpriority"], "hit")
+    benign = evaluate.over_redaction(read(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("n_words"), F.floor(F.col("l_quantity") * F.col("l_discount")).alias("n_removed"), (F.col("l_returnflag") == "R").alias("refused")))
+    held = F.from_json("report", "tallies array<struct<dimension:string,value:string,caught:bigint,total:bigint,low:double>>, benign struct<words:bigint,removed:bigint,refused:bigint>")
+    return evaluate.report(tallied, benign).select(held.alias("r")).select(F.explode("r.tallies").alias("t"), "r.benign.*").select("t.dimension", "t.value", "t.caught", "t.total", F.round("t.low", 6).alias("low"), "words", "removed", "refused")
+
+
 def mandatory_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as spans of rules, terms and models: what must be cut whatever a model says."""
     kind = F.when(F.col("l_returnflag") == "A", "rules").when(F.col("l_returnflag") == "R", "user_terms").otherwise("model")
@@ -208,7 +217,7 @@ def seen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    job_cleanup, moved_jobs, upload_outcomes, grown_lineage, training_outcomes, live_deliveries, consents_newest_first, segment_filters, word_checks, shown_texts, spliced_texts, clip_audio, session_speech, benign_over_redaction, mandatory_spans, record_keys, interval_relations,
+    job_cleanup, moved_jobs, upload_outcomes, grown_lineage, training_outcomes, live_deliveries, consents_newest_first, segment_filters, word_checks, shown_texts, spliced_texts, clip_audio, session_speech, benign_over_redaction, evaluation_report, mandatory_spans, record_keys, interval_relations,
     shifted_words, seen_events,
 )
 
@@ -274,6 +283,10 @@ SELECT l_orderkey, len(s) AS n, list_sum(list_transform(s, lambda x, i: x * i)):
     "session_speech": """SELECT l_orderkey, round(r::DOUBLE, 5) AS ratio, r < 0.08::FLOAT AS silent
 FROM (SELECT l_orderkey, coalesce(sum(CASE WHEN l_quantity > 40 THEN l_partkey ELSE 0 END) / nullif(sum(l_partkey), 0), 0)::FLOAT AS r FROM lineitem GROUP BY l_orderkey)""",
     "benign_over_redaction": """SELECT sum(trunc(l_quantity))::BIGINT AS words, sum(floor(l_quantity * l_discount))::BIGINT AS removed, sum(floor(l_quantity * l_discount)) / sum(trunc(l_quantity)) AS fraction, count(*) FILTER (l_returnflag = 'R') AS refused FROM lineitem""",
+    "evaluation_report": """WITH t AS (SELECT CASE WHEN grouping(o_orderstatus) = 0 THEN 'o_orderstatus' ELSE 'o_orderpriority' END AS dimension, coalesce(o_orderstatus, o_orderpriority) AS value, count(*) FILTER (o_totalprice < 100000) AS caught, count(*) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))),
+p AS (SELECT *, caught / total::DOUBLE AS p, total::DOUBLE AS n, 1.959964::DOUBLE AS z FROM t),
+b AS (SELECT sum(trunc(l_quantity))::BIGINT AS words, sum(floor(l_quantity * l_discount))::BIGINT AS removed, count(*) FILTER (l_returnflag = 'R') AS refused FROM lineitem)
+SELECT dimension, value, caught, total, round(greatest(0, (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt((p * (1 - p) + z * z / (4 * n)) / n) / (1 + z * z / n)), 6) AS low, words, removed, refused FROM p, b""",
     "mandatory_spans": "SELECT l_orderkey AS session_id, count(*) AS spans, min(l_linenumber) AS first, max(l_linenumber) + 1 AS last FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey",
     "record_keys": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'extra' ELSE '' END AS unknown, 1 AS others FROM events",
     "interval_relations": """WITH l AS (SELECT l_orderkey, l_partkey % 60 AS a, l_partkey % 60 + trunc(l_quantity)::BIGINT % 30 AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem),
