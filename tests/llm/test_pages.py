@@ -3,6 +3,7 @@
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,44 @@ def test_language_by_text_on_held_out_documents(spark, small):
     out = language_fusion.identify(own.drop("lang"), docs.where("doc_id % 4 <> 0")).join(own.select("page_id", F.col("lang").alias("truth")), "page_id")
     share = out.select(F.avg((F.col("lang") == F.col("truth")).cast("double"))).first()[0]
     assert share > 0.9
+
+
+def test_more_languages_than_can_be_held_are_refused(spark):
+    docs = spark.createDataFrame([(i, "text", f"lang{i}") for i in range(200)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        language_fusion.train(docs)
+
+
+def test_language_posterior_by_hand(spark):
+    """The whole posterior in plain Python, by either way of joining hosts, on repeated and awkward pages."""
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(WORDS.items())], "doc_id long, text string, lang string")
+    texts = list(WORDS.values())
+    table = [("https://a.example.org/", f"<html lang=en><p>{texts[0]}</p>"), ("https://a.example.org/x", f"<html lang=de>{texts[1]}"), ("https://b.example.org/", "the"), ("https://b.example.org/", "the"), (None, None), ("http://c.fr/", f"{texts[2]} " * 30), ("http://c.fr/y", "")]
+    langs, logs = language_fusion.train(docs)
+    power, strength, n = 0.2, 5.0, len(langs)
+    soft = lambda v: (lambda e: e / e.sum())(np.exp(np.array(v) - max(v)))
+    pages_ = []
+    for url, html in table:
+        host = re.match("[^/]*//([^/?#]*)", url).group(1) if url else ""
+        lang = re.match("<html[^>]*lang=([a-z]+)", html or "")
+        data = np.frombuffer(re.sub("<[^>]*>", " ", html or "").encode(), np.uint8)
+        weights = power * np.array([float(row[language_fusion.buckets(data, np.array([0, len(data)]))].astype(np.float64).sum()) if len(data) else 0.0 for row in logs])
+        pages_.append((host, lang.group(1) if lang else "none", weights, soft(weights)))
+    whole = sum(p[3] for p in pages_)
+    said = {x: np.log((sum((p[3] for p in pages_ if p[1] == x), np.zeros(n)) + 0.5) / (whole + 0.5 * (n + 2))) for x in [*langs, "none", "other"]}
+    overall = (whole + 1) / (whole.sum() + n)
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    suffix = lambda h: domain(h).split(".", 1)[-1]
+    smooth = lambda own, above: (sum((p[3] for p in own), np.zeros(n)) + strength * above) / (len(own) + strength)
+    expected = []
+    for host, declared, weights, mine in pages_:
+        above = smooth([p for p in pages_ if domain(p[0]) == domain(host)], smooth([p for p in pages_ if suffix(p[0]) == suffix(host)], overall))
+        own = [p for p in pages_ if p[0] == host]
+        rest = np.maximum(0, sum(p[3] for p in own) - mine)
+        fused = soft(weights + said[declared] + np.log((rest + strength * above) / (len(own) - 1 + strength)))
+        expected.append((langs[int(fused.argmax())], float(fused.max())))
+    for hosts in (100_000, 0):
+        got = {r["page_id"]: (r["lang"], r["probability"]) for r in language_fusion.identify(pages(spark, table), docs, broadcast_hosts=hosts).collect()}
+        assert len(got) == len(table)
+        for k, (lang, p) in enumerate(expected):
+            assert got[k][0] == lang and abs(got[k][1] - p) < 1e-6

@@ -9,11 +9,11 @@ Three sources meet in one posterior per page:
   suffix's, those towards the overall shares. A page's own text doesn't count towards its host.
 
 Sums run where the rows are before they are shuffled, so a hot host is one row per task. Only tables
-bounded by the number of languages (at most ``MOST_LANGUAGES``) reach the driver.
+bounded by the number of languages (at most ``MOST_LANGUAGES``, counted first; more are refused) reach the driver.
 
 Defined cases: a null or empty page has no text evidence; a null address has an empty host. An unknown
 or missing declaration is evidence of its own. Repeated pages each keep a row. Without labelled
-documents the language is null. Other columns are not read.
+documents the language is null. Of languages with equal posteriors the first by name is given. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,11 +37,14 @@ FOLD[:65] = FOLD[91:97] = FOLD[123:128] = 32
 DECLARED = r"(?is)<html[^>]*\blang\s*=\s*[\"']?\s*([a-z]+)"
 
 
-def buckets(data: np.ndarray) -> np.ndarray:
-    """The bucket of the trigram at each byte; what is not a letter counts as a space."""
+def buckets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The bucket of the trigram at each byte; what is not a letter counts as a space, as does what lies before a text."""
     x = FOLD[data]
-    padded = np.concatenate([np.full(2, 32, np.uint32), x])
-    key = padded[:-2] << np.uint32(16) | padded[1:-1] << np.uint32(8) | padded[2:]
+    two, one = (np.concatenate([np.full(k, 32, np.uint32), x])[: len(x)] for k in (2, 1))
+    first = offsets[:-1][np.diff(offsets) > 0]
+    two[first] = one[first] = 32
+    two[first[first + 1 < len(x)] + 1] = 32
+    key = two << np.uint32(16) | one << np.uint32(8) | x
     return ((key * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
@@ -53,7 +56,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
         held: dict[str, np.ndarray] = {}
         for batch, data, offsets in chunks(batches):
             names = np.array(batch.column("lang").to_pylist(), dtype=object)
-            found = buckets(data)
+            found = buckets(data, offsets)
             each = np.repeat(np.arange(len(names)), np.diff(offsets))
             for lang in set(names):
                 n = np.bincount(found[(names == lang)[each]], minlength=BUCKETS)
@@ -63,11 +66,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.lower(lang_col).alias("lang"))
+    # Before anything reaches the driver: a column that isn't one of languages is refused, not learned from.
+    if labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     sums = labelled.mapInArrow(tally, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = sums.toPandas()  # at most MOST_LANGUAGES x BUCKETS rows, checked below
+    table = sums.toPandas()  # at most MOST_LANGUAGES x BUCKETS rows
     langs = sorted(table["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MOST_LANGUAGES}")
     n = np.zeros((len(langs), BUCKETS))
     n[table["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(int), table["bucket"].to_numpy(int)] = table["n"].to_numpy(float)
     return langs, np.log((n + 0.5) / (n.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32)
@@ -93,7 +97,7 @@ def identify(pages: DataFrame, docs: DataFrame, power: float = 0.2, strength: fl
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         for batch, data, offsets in chunks(batches, limit=1 << 20):
-            found = buckets(data)
+            found = buckets(data, offsets)
             out = np.empty((len(offsets) - 1, len(table)))
             for k, row in enumerate(table):
                 total = np.concatenate([[0.0], np.cumsum(row[found], dtype=np.float64)])
