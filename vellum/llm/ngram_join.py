@@ -40,7 +40,10 @@ from .components import components
 from .storage import bounded_arrow, materialize, shuffle_parts
 from .text import LOWER, U, Words, chunks, grams, mix
 
-PAIRS_SEGMENT = 1_000_000
+#: Signatures that a task sorts together.
+PAIRS_SEGMENT = 1 << 18
+#: Documents whose signatures, some hundreds each, go into one slice.
+SLICE_DOCUMENTS = 1 << 12
 #: Of a node's signatures, so many tell at which one a pair is compared.
 LEAST_SIGNATURES = 16
 SALT_ROWS = 256
@@ -176,9 +179,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _shared(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(sig, rep, node): nodes that share a signature with the node ``rep``."""
-    slices = 4 * shuffle_parts(rows.sparkSession)
+def _shared(rows: DataFrame, words: int, percent: int, n: int) -> DataFrame:
+    """(sig, rep, node): nodes that share a signature with the node ``rep``; ``n`` documents, by which slices are sized."""
+    slices = max(4 * shuffle_parts(rows.sparkSession), n // SLICE_DOCUMENTS)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -287,7 +290,7 @@ def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
             )
 
     described = materialize(rows.mapInArrow(describe, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own) + ", n_shingles long, node long, sketch array<long>"), "sets")
-    shared = materialize(_shared(known, words, percent), "shared")
+    shared = materialize(_shared(known, words, percent, described.count()), "shared")
     nodes = described.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     met = shared.select("node").union(shared.select("rep")).distinct()
     nodes = materialize(nodes.join(met, "node"), "nodes")
