@@ -171,3 +171,35 @@ def test_stream_of_requests(spark, tables):
         ledgers.admission_stream(ledger, stream, consents, limits, lambda: 10, checkpoint).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["sample_id"] for r in ledger.table("samples").collect()) == ["sample-1", "sample-2", "sample-3"]
     assert ledger.table("receipts").count() == 3
+
+
+def test_training_folders(spark):
+    from vellum.sources.clip_files import ClipFiles, split_clips
+
+    spark.dataSource.register(ClipFiles)
+    samples = spark.createDataFrame([("t", f"s{k:02}", k) for k in range(10)] + [("u", "x", 1)], "tenant_id string, sample_id string, received_at long")
+    clips = spark.createDataFrame([(f"s{k:02}", i) for k in range(10) for i in range(k % 3)] + [("x", 0), ("gone", 0)], "sample_id string, clip_ix long")
+    named = {(r["tenant_id"], r["sample_id"], r["clip_ix"]): (r["split"], r["name"]) for r in split_clips(samples, clips, 0.25, 2).collect()}
+    assert named == {("t", f"s{k:02}", i): ("heldout" if k >= 7 else "train", f"{k:06}-{i:03}") for k in range(10) for i in range(k % 3)} | {("u", "x", 0): ("heldout", "000000-000")}
+    folder = tempfile.mkdtemp(prefix="spark-")
+    rows = [("train", "000001-000", [1, -2, 32_767], "yksi"), ("train", "000002-000", None, None), ("heldout", "000007-000", list(range(100)), "ä\nb")]
+    frame = spark.createDataFrame(rows, "split string, name string, samples array<int>, text string")
+    for _ in range(2):
+        frame.write.format("clip_files").mode("append").save(folder)
+    import pathlib
+    import wave
+
+    assert sorted(str(p.relative_to(folder)) for p in pathlib.Path(folder).rglob("*.*")) == sorted(f"{s}/{n}.{x}" for s, n, *_ in rows for x in ("wav", "txt"))
+    with wave.open(f"{folder}/heldout/000007-000.wav") as f:
+        assert (f.getframerate(), f.getnchannels(), f.getsampwidth(), f.getnframes()) == (16_000, 1, 2, 100) and f.readframes(100) == np.arange(100, dtype="<i2").tobytes()
+    assert open(f"{folder}/heldout/000007-000.txt", encoding="utf-8").read() == "ä\nb"
+    with pytest.raises(Exception, match="not a safe name"):
+        frame.withColumn("name", F.lit("../x")).write.format("clip_files").mode("append").save(folder)
+
+
+def test_lineage_of_many_steps(spark):
+    from vellum.operators import control
+
+    edges = [(f"n{k}", f"n{k + 1}") for k in range(70)] + [("n70", "n3"), ("other", "n5x")]
+    got = control.descendants(spark.createDataFrame(edges, "parent string, child string"), spark.createDataFrame([("n0",), ("n0",)], "node string"))
+    assert sorted(r["node"] for r in got.collect()) == sorted(f"n{k}" for k in range(1, 71))

@@ -159,8 +159,8 @@ def orphans(objects: DataFrame, samples: DataFrame, key: str) -> DataFrame:
     return objects.join(samples.select(key), key, "left_anti")
 
 
-def time_split(rows: DataFrame, tenant: str, order: Sequence[str], fraction: float = 0.2, least: int = 30) -> DataFrame:
-    """``held_out`` for the last rows of each tenant in time order.
+def time_split(rows: DataFrame, tenant: str, order: Sequence[str], fraction: float = 0.2, least: int = 30, place: str | None = None) -> DataFrame:
+    """``held_out`` for the last rows of each tenant in time order; ``place`` names a column for a row's place, from 0.
 
     The rows' places are found without sorting a tenant in one task: a range split of the whole table,
     places within each part, and the counts of earlier parts.
@@ -178,6 +178,7 @@ def time_split(rows: DataFrame, tenant: str, order: Sequence[str], fraction: flo
     sizes = sizes.select(tenant, "__part", (F.sum("__n").over(w) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(tenant)).alias("__total"))
     joined = ranked.join(sizes, [tenant, "__part"])
     out = F.col("__before") + F.col("__at") > F.col("__total") - held_out_size(F.col("__total"), fraction, least)
+    joined = joined if place is None else joined.withColumn(place, F.col("__before") + F.col("__at") - 1)
     return joined.withColumn("held_out", out).drop("__part", "__at", "__before", "__total")
 
 
@@ -189,13 +190,18 @@ def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node): all that the roots lead to, by semi-naive steps until none is new; roots only if they are reached. Cycles end."""
     from vellum.operators.storage import kept
 
-    reached = kept(edges.join(roots.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select(F.col("child").alias("node")).distinct())
-    new = reached
+    new = kept(edges.join(roots.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select(F.col("child").alias("node")).distinct())
+    # Steps are put together like a binary counter's digits, so n steps are read as some log n tables and each row is written as often.
+    parts: list[tuple[int, DataFrame]] = [(0, new)]
+    reached = lambda: reduce(DataFrame.union, (p for _, p in parts))
     while not new.isEmpty():
         step = edges.join(new.select(F.col("node").alias("parent")), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
-        new = kept(step.join(reached, "node", "left_anti"))
-        reached = reached.union(new)
-    return kept(reached)
+        new = kept(step.join(reached(), "node", "left_anti"))
+        parts.append((0, new))
+        while len(parts) > 1 and parts[-1][0] == parts[-2][0]:
+            (rank, x), (_, y) = parts.pop(), parts.pop()
+            parts.append((rank + 1, kept(x.union(y).coalesce(max(1, int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")))))))
+    return kept(reached())
 
 
 def deletion(samples: DataFrame, edges: DataFrame, requested: DataFrame, tenant: str = "tenant_id") -> tuple[DataFrame, DataFrame]:

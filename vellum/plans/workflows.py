@@ -9,6 +9,7 @@ from vellum.functions import numbers
 from vellum.functions import text as T
 from vellum.operators import control, detect, evaluate, intervals, recognised, records, splice, training, vad
 from vellum.plans.tables import read
+from vellum.sources import clip_files
 from vellum.sources import transcripts as source
 
 #: A time in the middle of the orders' dates, and how they are read as seconds.
@@ -95,6 +96,13 @@ def training_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.outcomes(jobs, samples, consents, runs, NOW, NOW + 100, "v2", least_train=3, least_held=2)
 
 
+def clip_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a customer's samples, lines as their clips: the side and the name of each in the training folder."""
+    samples = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("tenant_id"), F.col("o_orderkey").alias("sample_id"), _seconds("o_orderdate").alias("received_at"))
+    clips = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.col("l_linenumber").alias("clip_ix")).distinct()
+    return clip_files.split_clips(samples, clips, 0.2, 2)
+
+
 def live_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as deliveries to customers, returned lines as revocations: the latest that still counts."""
     orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("tenant_id"), F.col("o_orderkey").alias("version"), _seconds("o_orderdate").alias("created_at"))
@@ -217,7 +225,7 @@ def seen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    job_cleanup, moved_jobs, upload_outcomes, grown_lineage, training_outcomes, live_deliveries, consents_newest_first, segment_filters, word_checks, shown_texts, spliced_texts, clip_audio, session_speech, benign_over_redaction, evaluation_report, mandatory_spans, record_keys, interval_relations,
+    job_cleanup, moved_jobs, upload_outcomes, grown_lineage, training_outcomes, clip_names, live_deliveries, consents_newest_first, segment_filters, word_checks, shown_texts, spliced_texts, clip_audio, session_speech, benign_over_redaction, evaluation_report, mandatory_spans, record_keys, interval_relations,
     shifted_words, seen_events,
 )
 
@@ -257,6 +265,9 @@ SELECT t AS tenant_id, 'job' || t AS job_id,
   CASE WHEN NOT enough OR t % 29 = 0 THEN 'kept_base_model' WHEN r IS NULL THEN 'pending' WHEN r = 0 THEN 'cancelled' WHEN why IS NOT NULL THEN 'kept_base_model' WHEN later < n THEN 'cancelled' ELSE 'delivered' END AS state,
   CASE WHEN NOT enough THEN 'insufficient_data' WHEN t % 29 = 0 THEN 'stored_sample_unreadable' WHEN r IS NULL OR r = 0 THEN NULL WHEN why IS NOT NULL THEN why WHEN later < n THEN 'consent_changed_during_training' END AS reason,
   CASE WHEN enough THEN n - held ELSE 0 END AS train, CASE WHEN enough THEN held ELSE 0 END AS held_out FROM v""",
+    "clip_names": f"""WITH s AS (SELECT o_custkey AS tenant_id, o_orderkey AS sample_id, row_number() OVER (PARTITION BY o_custkey ORDER BY {_DAY}, o_orderkey) - 1 AS n, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders),
+c AS (SELECT DISTINCT l_orderkey AS sample_id, l_linenumber AS clip_ix FROM lineitem)
+SELECT tenant_id, CASE WHEN n >= total - greatest(ceil(total * 0.2::DOUBLE), 2) THEN 'heldout' ELSE 'train' END AS split, lpad(n::VARCHAR, 6, '0') || '-' || lpad(clip_ix::VARCHAR, 3, '0') AS name, sample_id, clip_ix FROM s JOIN c USING (sample_id)""",
     "live_deliveries": f"""SELECT o_custkey AS tenant_id, o_orderkey AS version, {_DAY} AS created_at FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {_DAY} DESC, o_orderkey DESC) = 1""",
     "consents_newest_first": f"""WITH c AS (SELECT o_custkey AS tenant_id, o_orderkey AS consent_id, {_DAY} AS granted_at, o_orderstatus = 'F' AS revoked, row_number() OVER (PARTITION BY o_custkey ORDER BY {_DAY} DESC, o_orderkey DESC) AS place FROM orders)
 SELECT tenant_id, consent_id, place, NOT revoked AND place = min(CASE WHEN NOT revoked THEN place END) OVER (PARTITION BY tenant_id) AS current FROM c""",
