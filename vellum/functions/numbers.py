@@ -88,3 +88,8 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     """An aggregate in single precision, as thresholds are; without weight 0."""
     total = F.sum(weight.cast("double"))
     return F.coalesce(F.when(total > 0, F.sum(value.cast("double") * weight.cast("double")) / total), F.lit(0.0)).cast("float")
+
+
+def manifest_ratio(value: Column) -> Column:
+    """A ratio as manifests hold it: four decimals, half away from zero."""
+    return F.round(value.cast("double"), 4)

@@ -470,3 +470,70 @@ def consents_by_age(consents: DataFrame, tenant: str) -> DataFrame:
     rows = consents.withColumn("place", F.row_number().over(newest).cast("long"))
     open_ = F.min(F.when(F.col("revoked_at").isNull(), F.col("place"))).over(Window.partitionBy(tenant))
     return rows.select(tenant, "consent_id", "place", F.coalesce(F.col("place") == open_, F.lit(False)).alias("current"))
+
+
+def jobs_in(jobs: DataFrame, states: Sequence[str]) -> DataFrame:
+    """Jobs in one of the states, oldest first; equal times by id."""
+    return jobs.where(F.col("state").isin(*states)).orderBy("created_at", "job_id")
+
+
+def rescheduled(jobs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``jobs`` with a new attempt's time (job_id, at) where they are still eligible; of several the latest counts. ``done`` tells which were."""
+    new = asked.groupBy("job_id").agg(F.max("at").alias("__at"))
+    ok = F.col("__at").isNotNull() & (F.col("state") == "eligible")
+    return jobs.join(new, "job_id", "left").withColumns({"next_attempt_at": F.when(ok, F.col("__at")).otherwise(F.col("next_attempt_at")), "done": F.when(F.col("__at").isNotNull(), F.col("state") == "eligible")}).drop("__at")
+
+
+def late_deletions(jobs: DataFrame, receipts: DataFrame) -> DataFrame:
+    """(request_id, job_id, scope): what the server has to delete since its receipt (job_id, receipt_id, accepted) came after the job was deleted."""
+    late = receipts.where("accepted").join(jobs.where("state = 'deleted'").select("job_id"), "job_id", "left_semi")
+    scope = F.concat(F.lit("receipt:"), "receipt_id")
+    return late.select(F.concat(F.lit("delete-"), "receipt_id").alias("request_id"), "job_id", scope.alias("scope")).dropDuplicates(["request_id"])
+
+
+def ended_uploads(jobs: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(jobs, scopes to drop) after uploads were cancelled or refused (job_id, kind cancel or reject, reason): the package of each goes.
+
+    A job that has ended stays as it is; a cancel counts before a refusal.
+    """
+    asked = ends.groupBy("job_id").agg(F.min(F.struct("kind", "reason")).alias("__e"))
+    rows = jobs.join(asked, "job_id", "left").withColumn("__go", F.col("__e").isNotNull() & pending(F.col("state")))
+    state = F.when(F.col("__go"), F.when(F.col("__e.kind") == "cancel", "deleted").otherwise("rejected")).otherwise(F.col("state"))
+    reason = F.when(F.col("__go"), F.col("__e.reason")).otherwise(F.col("reason"))
+    scopes = rows.where("__go").select(F.concat(F.lit("package:"), F.col("job_id").cast("string")).alias("scope"))
+    return rows.withColumns({"state": state, "reason": reason}).drop("__e", "__go"), scopes
+
+
+def final_events(transcripts: DataFrame) -> DataFrame:
+    """``transcripts`` (session, seq, end_ms, text) with ``event``: the JSON that clients get once a transcript is final; what is null is left out."""
+    event = F.struct(F.lit(1).alias("version"), F.lit("transcript.final").alias("kind"), "session", "seq", F.lit(0).cast("long").alias("start_ms"), "end_ms", "text", F.lit(True).alias("is_final"))
+    return transcripts.withColumn("event", F.to_json(event))
+
+
+def scopes_text(scopes: Column) -> Column:
+    """Scopes as they are stored: a comma list."""
+    return F.array_join(scopes, ",")
+
+
+def clients_by_age(clients: DataFrame) -> DataFrame:
+    """Clients (client_id, created_at, ...), oldest first; equal times by id."""
+    return clients.orderBy("created_at", "client_id")
+
+
+def sequence_gaps(rows: DataFrame, key: Sequence[str], seq: str = "seq") -> DataFrame:
+    """(key, after, missing): where numbers are missing in a sequence; repeated ones count once. A client that finds a gap asks anew."""
+    w = Window.partitionBy(*key).orderBy(seq)
+    each = rows.select(*key, seq).distinct().withColumn("__before", F.lag(seq).over(w))
+    return each.where(F.col(seq) > F.col("__before") + 1).select(*key, F.col("__before").alias("after"), (F.col(seq) - F.col("__before") - 1).alias("missing"))
+
+
+def span_reason(start: Column, stop: Column) -> Column:
+    """Why a span of words can't be: no words, or turned round."""
+    return first_reason([("span_missing", start.isNull() | stop.isNull()), ("span_inverted", stop < start), ("span_empty", stop == start)])
+
+
+def deleted_tenant(samples: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """(tenant_id, samples, artifacts): what goes when tenants are deleted with all they have."""
+    a = samples.groupBy("tenant_id").agg(F.count("*").alias("samples"))
+    b = deliveries.groupBy("tenant_id").agg(F.count("*").alias("artifacts"))
+    return a.join(b, "tenant_id", "full_outer").na.fill(0, ["samples", "artifacts"])

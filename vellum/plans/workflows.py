@@ -15,6 +15,7 @@ from vellum.sources import transcripts as source
 #: A time in the middle of the orders' dates, and how they are read as seconds.
 NOW = 800_000_000
 _DAY = "floor(epoch(o_orderdate))::BIGINT"
+_OPEN = "state NOT IN ('acknowledged', 'rejected', 'deleted')"
 _STATES = ("local_pending", "analyzing", "building", "eligible", "uploading", "acknowledged", "rejected", "deleted", "unheard_of")
 
 
@@ -224,13 +225,79 @@ def seen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.permitted(events, clients).groupBy("client_id", "kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+def listed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that may be uploaded or are being built, with another attempt's time where an order of the customer asks for one."""
+    jobs = _jobs(spark, sf_dir).withColumn("created_at", F.col("updated_at"))
+    asked = read(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_orderkey").alias("job_id"), F.col("l_partkey").alias("at"))
+    again = control.rescheduled(jobs, asked)
+    return control.jobs_in(again, ["eligible", "building"]).select("job_id", "state", "next_attempt_at", "done")
+
+
+def ended_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cancel or refuse the uploads of their order; the packages that go."""
+    lines = read(spark, sf_dir, "lineitem").where("l_quantity > 40")
+    ends = lines.select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_returnflag") == "A", "cancel").otherwise("reject").alias("kind"), F.col("l_linestatus").alias("reason"))
+    jobs, scopes = control.ended_uploads(_jobs(spark, sf_dir).select("job_id", "state", "reason"), ends)
+    return jobs.join(scopes.withColumn("dropped", F.lit(True)), F.col("scope") == F.concat(F.lit("package:"), F.col("job_id").cast("string")), "left").select("job_id", "state", "reason", F.coalesce("dropped", F.lit(False)).alias("dropped"))
+
+
+def late_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    receipts = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("receipt_id"), (F.col("l_returnflag") != "R").alias("accepted"))
+    return control.late_deletions(_jobs(spark, sf_dir), receipts)
+
+
+def final_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as final transcripts; what clients get, read again."""
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), F.char_length("text").cast("long").alias("end_ms"), F.when(F.col("turn") % 3 != 0, F.col("text")).alias("text"))
+    back = F.from_json("event", "version int, kind string, session string, seq long, start_ms long, end_ms long, text string, is_final boolean")
+    return control.final_events(rows).select(back.alias("e"), F.array_join(F.json_object_keys("event"), ",").alias("keys")).select("keys", "e.kind", "e.session", "e.seq", "e.start_ms", "e.end_ms", F.sha2(F.coalesce("e.text", F.lit("")), 256).alias("text"), "e.is_final")
+
+
+def client_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as clients with the scopes that they were given and a ratio as manifests hold it."""
+    scopes = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("status:read"))).otherwise(F.array(F.lit("transcript:final"), F.lit("transcript:live")))
+    clients = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("client_id"), F.col("s_nationkey").alias("created_at"), control.scopes_text(scopes).alias("scopes"), numbers.manifest_ratio(F.abs("s_acctbal") / 10_000).alias("ratio"))
+    return control.clients_by_age(clients)
+
+
+def event_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as numbered events of a part: what is missing in between."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"))
+    return control.sequence_gaps(rows, ["session_id"])
+
+
+def span_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", control.span_reason(F.col("l_linenumber"), F.when(F.col("l_partkey") % 9 != 0, F.col("l_partkey") % 6)).alias("reason"))
+    return rows.groupBy("reason").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+def deleted_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_custkey").alias("tenant_id"))
+    deliveries = read(spark, sf_dir, "orders").where("o_totalprice > 300000").select((F.col("o_custkey") + 1).alias("tenant_id"))
+    return control.deleted_tenant(samples, deliveries)
+
+
 QUERIES = (
+    listed_jobs, ended_uploads, late_deletions, final_transcripts, client_list, event_gaps, span_reasons, deleted_tenants,
     job_cleanup, moved_jobs, upload_outcomes, grown_lineage, training_outcomes, clip_names, live_deliveries, consents_newest_first, segment_filters, word_checks, shown_texts, spliced_texts, clip_audio, session_speech, benign_over_redaction, evaluation_report, mandatory_spans, record_keys, interval_relations,
     shifted_words, seen_events,
 )
 
-_OPEN = "state NOT IN ('acknowledged', 'rejected', 'deleted')"
 SQL = {
+    "listed_jobs": f"""WITH {_JOBS}, a AS (SELECT l_orderkey AS job_id, max(l_partkey) AS at_ FROM lineitem WHERE l_quantity > 30 GROUP BY l_orderkey)
+SELECT job_id, state, CASE WHEN at_ IS NOT NULL AND state = 'eligible' THEN at_ ELSE next_attempt_at END AS next_attempt_at, CASE WHEN at_ IS NOT NULL THEN state = 'eligible' END AS done FROM j LEFT JOIN a USING (job_id) WHERE state IN ('eligible', 'building')""",
+    "ended_uploads": f"""WITH {_JOBS}, e AS (SELECT l_orderkey AS job_id, min({{'kind': CASE WHEN l_returnflag = 'A' THEN 'cancel' ELSE 'reject' END, 'reason': l_linestatus}}) AS e FROM lineitem WHERE l_quantity > 40 GROUP BY l_orderkey)
+SELECT job_id, CASE WHEN e IS NULL OR NOT {_OPEN} THEN state WHEN e.kind = 'cancel' THEN 'deleted' ELSE 'rejected' END AS state, CASE WHEN e IS NOT NULL AND {_OPEN} THEN e.reason ELSE reason END AS reason, e IS NOT NULL AND {_OPEN} AS dropped FROM j LEFT JOIN e USING (job_id)""",
+    "late_deletions": f"""WITH {_JOBS} SELECT DISTINCT 'delete-' || l_orderkey || '-' || l_linenumber AS request_id, l_orderkey AS job_id, 'receipt:' || l_orderkey || '-' || l_linenumber AS scope FROM lineitem WHERE l_returnflag <> 'R' AND l_orderkey IN (SELECT job_id FROM j WHERE state = 'deleted')""",
+    "final_transcripts": """SELECT CASE WHEN turn % 3 <> 0 AND text IS NOT NULL THEN 'version,kind,session,seq,start_ms,end_ms,text,is_final' ELSE 'version,kind,session,seq,start_ms,end_ms,is_final' END AS keys, 'transcript.final' AS kind, conv_id::VARCHAR AS session, turn AS seq, 0::BIGINT AS start_ms, length(text) AS end_ms,
+  sha256(CASE WHEN turn % 3 <> 0 THEN coalesce(text, '') ELSE '' END) AS text, true AS is_final FROM conversations""",
+    "client_list": """SELECT s_suppkey AS client_id, s_nationkey AS created_at, CASE WHEN s_suppkey % 2 = 0 THEN 'status:read' ELSE 'transcript:final,transcript:live' END AS scopes, round(abs(s_acctbal) / 10000::DOUBLE, 4) AS ratio FROM supplier""",
+    "event_gaps": """WITH e AS (SELECT DISTINCT l_suppkey AS session_id, l_orderkey * 8 + l_linenumber AS seq FROM lineitem), b AS (SELECT *, lag(seq) OVER (PARTITION BY session_id ORDER BY seq) AS before FROM e)
+SELECT session_id, before AS "after", seq - before - 1 AS missing FROM b WHERE seq > before + 1""",
+    "span_reasons": """WITH s AS (SELECT l_orderkey, l_linenumber AS a, CASE WHEN l_partkey % 9 <> 0 THEN l_partkey % 6 END AS b FROM lineitem)
+SELECT CASE WHEN b IS NULL THEN 'span_missing' WHEN b < a THEN 'span_inverted' WHEN b = a THEN 'span_empty' END AS reason, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM s GROUP BY 1""",
+    "deleted_tenants": """WITH a AS (SELECT o_custkey AS t, count(*) AS samples FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1), b AS (SELECT o_custkey + 1 AS t, count(*) AS artifacts FROM orders WHERE o_totalprice > 300000 GROUP BY 1)
+SELECT coalesce(a.t, b.t) AS tenant_id, coalesce(samples, 0) AS samples, coalesce(artifacts, 0) AS artifacts FROM a FULL JOIN b ON a.t = b.t""",
     "job_cleanup": f"""WITH {_JOBS} SELECT job_id, state = 'eligible' AND coalesce(next_attempt_at, 0) <= {NOW} AS ready, CASE WHEN {_OPEN} THEN expires_at <= {NOW} ELSE updated_at + 7776000 <= {NOW} END AS stale, {_OPEN} AS pending, state <> 'deleted' AS may_be_deleted FROM j""",
     "moved_jobs": f"""WITH {_JOBS}, m AS (
   SELECT l_orderkey AS job_id, CASE l_returnflag WHEN 'A' THEN 'analyzing' WHEN 'N' THEN 'rejected' ELSE 'eligible' END AS target, CASE WHEN l_linestatus = 'F' THEN 'asked' END AS why, CASE WHEN l_partkey % 2 = 0 THEN l_partkey END AS next
