@@ -93,8 +93,13 @@ def _removal(spark: SparkSession, sf_dir: str, full: bool) -> tuple[DataFrame, D
     bounds = source.session_ends(words)
     spans = (_hits if full else _word_hits)(spark, sf_dir).select("session_id", "start", "stop")
     dropped = kept(removal.touched_sentences(words, spans).union(removal.unusable_sentences(words)).distinct())
-    marked = removal.removed_words(words, dropped, bounds)
-    return marked, removal.removed_intervals(marked, dropped, bounds), bounds
+    # Sessions that lose nothing go past the windows.
+    losing = dropped.select("session_id", F.lit(True).alias("__losing")).distinct()
+    told = words.join(losing, "session_id", "left")
+    hit = told.where("__losing").drop("__losing")
+    marked = removal.removed_words(hit, dropped, bounds)
+    whole = told.where("__losing IS NULL").drop("__losing").withColumn("removed", F.lit(False))
+    return marked.unionByName(whole), removal.removed_intervals(marked, dropped, bounds), bounds
 
 
 def _removal_plan(spark: SparkSession, sf_dir: str, full: bool) -> DataFrame:
