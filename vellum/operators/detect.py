@@ -9,6 +9,7 @@ built-in functions on the row; nothing is shuffled and no Python runs. ``hits``
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +30,16 @@ def _count(word: Column, mark: str) -> Column:
     return F.length(word) - F.length(F.replace(word, F.lit(mark), F.lit("")))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (first, last, match): the words of the first and last character of each match."""
+def matches(text: Column, pattern: str, guard: Column | None = None) -> Column:
+    """Array of (first, last, match): the words of the first and last character of each match.
+
+    ``guard`` is something cheap that holds wherever the pattern matches; texts without it are not searched.
+    """
+    worth = text.rlike(pattern) if guard is None else guard & text.rlike(pattern)
     marked = F.split(F.regexp_replace(text, f"({pattern})" if "(?" not in pattern[:2] else f"{pattern[: pattern.index(')') + 1]}({pattern[pattern.index(')') + 1 :]})", f"{OPEN}$1{CLOSE}"), " ")
     where = lambda mark: F.flatten(F.transform(marked, lambda w, i: F.array_repeat(i, _count(w, mark).cast("int"))))
     found = F.arrays_zip(where(OPEN).alias("first"), where(CLOSE).alias("last"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    return F.when(text.rlike(pattern), F.transform(found, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["match"].alias("match")))).otherwise(F.array().cast("array<struct<first:int,last:int,match:string>>"))
+    return F.when(worth, F.transform(found, lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"), x["match"].alias("match")))).otherwise(F.array().cast("array<struct<first:int,last:int,match:string>>"))
 
 
 def _hit(first: Column, last: Column, category: str, detector: str, source: str = "rules") -> Column:
@@ -45,8 +50,9 @@ def as_hits(found: Column, category: str, detector: str) -> Column:
     return F.transform(found, lambda m: _hit(m["first"], m["last"], category, detector))
 
 
-def entropy_hits(text: Column) -> Column:
+def entropy_hits(text: Column, guard: Column | None = None) -> Column:
     """Long tokens with a letter and a digit that stand between other characters than letters and digits."""
+    worth = text.rlike(rules.TOKEN) if guard is None else guard & text.rlike(rules.TOKEN)
     marked = F.split(F.regexp_replace(text, f"({rules.TOKEN})", f"{OPEN}$1{CLOSE}"), " ")
 
     def inside(word: Column, i: Column) -> Column:
@@ -54,29 +60,45 @@ def entropy_hits(text: Column) -> Column:
         tested = F.filter(good, lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]"))
         return F.transform(tested, lambda t: _hit(i, i, "credential_secret", "high_entropy_token"))
 
-    return F.when(text.rlike(rules.TOKEN), F.flatten(F.transform(marked, inside))).otherwise(F.array())
+    return F.when(worth, F.flatten(F.transform(marked, inside))).otherwise(F.array())
+
+
+def has_digit(text: Column) -> Column:
+    return text.rlike(r"\p{Nd}")
+
+
+def _guards(text: Column, lowered: Column, digit: Column) -> dict[str, Column]:
+    """By detector, what every match of its pattern holds."""
+    return {
+        "email_pattern": text.contains("@"), "url_pattern": lowered.contains("://") | lowered.contains("www."), "secret_prefix_pattern": text.contains("-") | text.contains("_") | text.contains("AKIA") | text.contains("eyJ"),
+        **dict.fromkeys(("ipv4_pattern", "us_ssn_pattern", "fi_hetu_pattern", "street_address_pattern", "postcode_pattern"), digit),
+    }
+
+
+#: By pattern of ``rules.INJECTION``, in order: every match holds one of these.
+_TOLD = (("ignore ",), ("disregard ",), ("you are ", "act as ", "pretend to be "), ("do not ", "don't "), ("mark ",), ("system prompt",), ("end of ",))
 
 
-def card_hits(text: Column) -> Column:
-    return as_hits(F.filter(matches(text, rules.CARD), lambda m: T.luhn(T.digits(m["match"]))), "financial", "card_luhn_pattern")
+def card_hits(text: Column, digit: Column | None = None) -> Column:
+    return as_hits(F.filter(matches(text, rules.CARD, digit), lambda m: T.luhn(T.digits(m["match"]))), "financial", "card_luhn_pattern")
 
 
-def digit_run_hits(text: Column) -> Column:
-    return as_hits(F.filter(matches(text, rules.DIGIT_RUN), lambda m: F.length(T.digits(m["match"])) >= rules.MIN_DIGITS), "account_identifier", "digit_run_pattern")
+def digit_run_hits(text: Column, digit: Column | None = None) -> Column:
+    return as_hits(F.filter(matches(text, rules.DIGIT_RUN, digit), lambda m: F.length(T.digits(m["match"])) >= rules.MIN_DIGITS), "account_identifier", "digit_run_pattern")
 
 
 def _upper(text: Column) -> Column:
     return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def _iban(upper: Column) -> Column:
+def _iban(upper: Column, digit: Column | None = None) -> Column:
     """Account numbers; groups are left off at the end until the check holds."""
 
     def groups(m: Column) -> Column:
         parts = F.split(m["match"], " ")
         return F.array_max(F.filter(F.sequence(F.lit(1), F.size(parts)), lambda n: T.iban(F.array_join(F.slice(parts, 1, n), ""))))
 
-    sized = F.transform(matches(upper, rules.IBAN), lambda m: F.struct(m["first"].alias("first"), groups(m).alias("n")))
+    sized = F.transform(matches(upper, rules.IBAN, digit), lambda m: F.struct(m["first"].alias("first"), groups(m).alias("n")))
     return F.transform(F.filter(sized, lambda m: m["n"].isNotNull()), lambda m: _hit(m["first"], m["first"] + m["n"] - 1, "financial", "iban_pattern"))
 
 
@@ -151,17 +173,20 @@ def injections(display: Column, text: Column | None = None, lowered: Column | No
     moved = F.octet_length(lowered) != F.octet_length(text)
     whole = F.struct(F.lit(0).alias("first"), (F.size(display) - 1).alias("last"))
     ends = lambda m: F.struct(F.when(moved, whole["first"]).otherwise(m["first"]).alias("first"), F.when(moved, whole["last"]).otherwise(m["last"]).alias("last"))
-    found = F.concat(*(F.transform(matches(lowered, p), ends) for p in rules.INJECTION))
+    told = [reduce(lambda a, b: a | b, (lowered.contains(x) for x in some)) for some in _TOLD]
+    found = F.concat(*(F.transform(matches(lowered, p, g), ends) for p, g in zip(rules.INJECTION, told, strict=True)))
     return F.transform(found, lambda m: _hit(m["first"], m["last"], "customer_confidential", "injection_attempt"))
 
 
-def detected(display: Column, spoken: Column, private_terms: Sequence[str] = (), text: Column | None = None, lowered: Column | None = None, upper: Column | None = None) -> Column:
-    """All hits of a transcript, by (start, stop, detector). The joined words, and they lowered and raised, may come as columns, so that they are made once."""
+def detected(display: Column, spoken: Column, private_terms: Sequence[str] = (), text: Column | None = None, lowered: Column | None = None, upper: Column | None = None, digit: Column | None = None) -> Column:
+    """All hits of a transcript, by (start, stop, detector). The joined words, they lowered and raised, and whether they hold a digit may come as columns, so that they are made once."""
     text = F.array_join(display, " ") if text is None else text
     upper = _upper(text) if upper is None else upper
-    parts = [as_hits(matches(text, pattern), category, detector) for detector, category, pattern in rules.PATTERNS]
-    parts += [entropy_hits(text), _iban(upper)]
-    parts += [card_hits(text), digit_run_hits(text)]
+    digit = has_digit(text) if digit is None else digit
+    guards = _guards(text, F.lower(text) if lowered is None else lowered, digit)
+    parts = [as_hits(matches(text, pattern, guards[detector]), category, detector) for detector, category, pattern in rules.PATTERNS]
+    parts += [entropy_hits(text, digit & F.exists(display, lambda w: F.length(w) >= 20)), _iban(upper, digit)]
+    parts += [card_hits(text, digit), digit_run_hits(text, digit)]
     parts += [_digit_runs(spoken), _spoken_contacts(spoken), *_triggers(spoken)]
     parts += [_word_hits(spoken, words, category, detector) for detector, category, words in rules.LEXICONS]
     for term in private_terms:
@@ -191,8 +216,8 @@ def _tokens(term: str) -> list[str]:
 
 def hits(sessions: DataFrame, private_terms: Sequence[str] = ()) -> DataFrame:
     """(session_id, start, stop, category, detector, source): a row per hit."""
-    rows = sessions.withColumn("__text", F.array_join("display", " ")).withColumns({"__lower": F.lower("__text"), "__upper": _upper(F.col("__text"))})
-    found = rows.select("session_id", F.explode(detected(F.col("display"), F.col("spoken"), private_terms, F.col("__text"), F.col("__lower"), F.col("__upper"))).alias("h"))
+    rows = sessions.withColumn("__text", F.array_join("display", " ")).withColumns({"__lower": F.lower("__text"), "__upper": _upper(F.col("__text")), "__digit": has_digit(F.col("__text"))})
+    found = rows.select("session_id", F.explode(detected(F.col("display"), F.col("spoken"), private_terms, F.col("__text"), F.col("__lower"), F.col("__upper"), F.col("__digit"))).alias("h"))
     return found.select("session_id", "h.*")
 
 

@@ -9,8 +9,6 @@ DIGIT_WORDS = (
     "zero", "oh", "nought", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen",
     "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "double", "triple",
 )
-#: Words that spell a mark.
-SYMBOL_WORDS = ("dot", "at", "dash", "slash", "underscore", "hyphen")
 
 #: Detector, category, pattern over the display text. ``(?U)`` gives classes and edges their Unicode meaning.
 PATTERNS = (
