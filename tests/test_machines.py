@@ -133,3 +133,20 @@ def test_online_speech_is_the_table(spark):
     frames = spark.createDataFrame(rows, schema).withColumnRenamed("at", "frame_ix")
     expected = {(r["session_id"], r["frame_ix"], r["speech"]) for r in vad.speaking(frames).collect()}
     assert {tuple(r) for r in got.collect()} == expected and len(expected) == 400
+
+
+def test_pairings_in_a_stream(spark):
+    """Entries and the log of opens go on from batch to batch and through restarts; here times are milliseconds."""
+    rng = random.Random(9)
+    rows, at = [], 0
+    for k in range(60):
+        at += rng.randint(1, 40_000)
+        rows.append((START + datetime.timedelta(milliseconds=at), rng.choice("xy"), rng.choice(["open", "open", "poll", "approve", "deny"]), f"p{rng.randint(max(0, k - 6), k)}", "s", f"token-{k}"))
+    rows.append((START + datetime.timedelta(milliseconds=at + 100_000), "z", "poll", "p", "s", None))
+    schema = "ts timestamp, server string, action string, pairing_id string, secret string, token string"
+    machine = machines.Pairings(pending=2, lifetime=300_000, rate=2, span=120_000)
+    got = _streamed(spark, machine, rows, schema, "server", True, [17, 18, 40])
+    frame = spark.createDataFrame(rows[:-1], schema).withColumn("at", F.unix_millis("ts"))
+    expected = sorted(map(tuple, machines.run(frame, machine, "server").collect()), key=repr)
+    assert sorted(map(tuple, got.collect()), key=repr) == expected
+    assert {r[4] for r in expected} >= {"opened", "rate_limited", "unknown", "refused", "done"}
