@@ -95,7 +95,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = 10, block: int = 1_0
     texts = docs.select(ID, TEXT_HASH, word_hashes(F.col(text_col)).alias("h"))
 
     found = []
-    places = texts.where(F.size(h) >= span).withColumn("g", gram_hashes(h)).select(ID, TEXT_HASH, "h", "g", F.posexplode(g).alias("i", "print"))
+    # The generator names both arrays, so that each is made once for a text and not once for each of its positions.
+    both = F.when(F.size(h) >= span, g)
+    places = texts.where(F.size(h) >= span).withColumn("g", gram_hashes(h)).select(ID, TEXT_HASH, "h", "g", F.posexplode(both).alias("i", "print"))
     kept = places.where(_kept(g, i, F.col("print"), span)).drop("g")
     for part in _blocks(prints, "print", prints.count(), block):
         met = kept.join(F.broadcast(part), "print").select(ID, TEXT_HASH, "h", F.explode(F.sequence(F.greatest(F.lit(0), i - (span - GRAM)), F.least(i, F.size(h) - span))).alias("start"))
