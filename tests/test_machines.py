@@ -150,3 +150,34 @@ def test_pairings_in_a_stream(spark):
     expected = sorted(map(tuple, machines.run(frame, machine, "server").collect()), key=repr)
     assert sorted(map(tuple, got.collect()), key=repr) == expected
     assert {r[4] for r in expected} >= {"opened", "rate_limited", "unknown", "refused", "done"}
+
+
+def test_a_long_history_spans_tasks(spark):
+    """One device has nearly all events; null keys, events and sessions; against a plain walk."""
+    from vellum.operators import control, recording
+
+    rng = random.Random(11)
+    names = ["hold_down", "toggle", "hold_up", "lock", "capture_started", "finalized", "delivered", "stop", "cancel", "reset", "failed", "nonsense", None]
+    rows = [(rng.choice(["hot"] * 30 + ["a", "b", None]), k, rng.choice(names), rng.choice(["s", "s", "", None])) for k in range(4000)]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "device string, n long, event string, session string, before_ string").repartition(3)
+    moves, state, expected = recording.table(), {}, []
+    shown = lambda s: "starting" if s.startswith("starting") else s
+    for d, n, e, s in rows:
+        now = state.get(d, "idle")
+        found = moves.get((now, e))
+        if found is None or now == "idle" and e in ("hold_down", "toggle") and not s:
+            expected.append((n, shown(now), shown(now), False, [], "invalid_transition"))
+            continue
+        state[d] = found[0]
+        expected.append((n, shown(now), shown(found[0]), found[2] is None, list(found[1]), found[2]))
+    got = recording.recorded(frame, "device", ["n"]).select("n", "before", "after", "accepted", "effects", "reason").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+    targets = [(r[0], r[1], rng.choice([*control.TRANSITIONS, "unknown", None])) for r in rows]
+    held: dict = {}
+    for k, _, t in targets:
+        h = held.setdefault(k, ["local_pending", 0, 0])
+        ok = t in control.TRANSITIONS[h[0]]
+        h[:] = [t if ok else h[0], h[1] + ok, h[2] + (not ok)]
+    got = control.fold_states(spark.createDataFrame(targets, "k string, n long, target string"), "k", ["n"], "target").collect()
+    assert {r["k"]: [r["state"], r["moved"], r["conflicts"]] for r in got} == held
+    assert recording.recorded(frame.where("false"), "device", ["n"]).count() == 0

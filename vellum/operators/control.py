@@ -78,14 +78,13 @@ def apply_moves(jobs: DataFrame, moves: DataFrame) -> DataFrame:
 
 def fold_states(requests: DataFrame, key: str, order: Sequence[str], target: str, initial: str = "local_pending") -> DataFrame:
     """(key, state, moved, conflicts) after all requests of a job in order; a move that isn't allowed changes nothing."""
-    start = F.struct(F.lit(initial).alias("state"), F.lit(0).alias("moved"), F.lit(0).alias("conflicts"))
+    from vellum.operators import automata
 
-    def step(s: Column, x: Column) -> Column:
-        ok = may_move(s["state"], x["target"])
-        return F.struct(F.when(ok, x["target"]).otherwise(s["state"]).alias("state"), (s["moved"] + ok.cast("int")).alias("moved"), (s["conflicts"] + (~ok).cast("int")).alias("conflicts"))
-
-    queue = F.array_sort(F.collect_list(F.struct(*order, F.col(target).alias("target"))))
-    return requests.groupBy(key).agg(F.aggregate(queue, start, step).alias("s")).select(key, "s.*")
+    moves = {(a, t): t for a, targets in TRANSITIONS.items() for t in targets}
+    rows = automata.states_before(requests, key, order, F.col(target), moves, initial)
+    ok = F.coalesce(may_move(F.col("before"), F.col(target)), F.lit(False))
+    last = F.max_by(F.when(ok, F.col(target)).otherwise(F.col("before")), automata.POSITION)
+    return rows.groupBy(key).agg(last.alias("state"), F.count_if(ok).cast("int").alias("moved"), F.count_if(~ok).cast("int").alias("conflicts"))
 
 
 def cancelled(jobs: DataFrame, reason: str) -> DataFrame:

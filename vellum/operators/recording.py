@@ -6,12 +6,11 @@ the machine is one finite table and a fold carries one name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators import automata
+
 STARTING = ("starting", "starting_locked", "starting_stop", "starting_locked_stop")
 RECORDING = ("recording_held", "recording_locked")
 WORKING = ("finalizing", "delivering")
@@ -47,33 +46,26 @@ def table() -> dict[tuple[str, str], tuple[str, tuple[str, ...], str | None]]:
 
 
 def recorded(events: DataFrame, key: str, order: list[str], event: str = "event", session: str = "session") -> DataFrame:
-    """``events`` with before, after, accepted, effects, reason: each device's history folded in its order.
+    """``events`` with before, after, accepted, effects, reason: each device's history in its order.
 
-    A history streams through its task in sorted batches and is never held; only the state's name is
-    carried. An event that no state allows has the reason ``invalid_transition`` and changes nothing, like
+    An event that no state allows has the reason ``invalid_transition`` and changes nothing, like
     a null or unknown event and a start (``hold_down``, ``toggle`` when idle) whose ``session`` is null or
-    empty. Rows of a null key are one history. Ties in ``order`` are broken by event and session.
+    empty. Rows of a null key are one history. Ties in ``order`` are broken by event and whether there is a session.
     """
     moves = table()
-    starts = {("idle", "hold_down"), ("idle", "toggle")}
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, state = object(), "idle"
-        for b in batches:
-            out = []
-            for k, e, s in zip(b[key].astype(object).where(b[key].notna(), None), b[event], b[session], strict=True):
-                if k != who:
-                    who, state = k, "idle"
-                found = moves.get((state, e))
-                if found is None or ((state, e) in starts and not (isinstance(s, str) and s)):
-                    out.append((state, state, False, [], "invalid_transition"))
-                    continue
-                after, effects, reason = found
-                out.append((state, after, reason is None, list(effects), reason))
-                state = after
-            yield b.assign(**dict(zip(("before", "after", "accepted", "effects", "reason"), map(list, zip(*out, strict=True)), strict=True))) if out else b.assign(before=[], after=[], accepted=[], effects=[], reason=[])
-
-    sorted_rows = events.repartition(key).sortWithinPartitions(key, *order, event, session)
-    shown = lambda c: F.when(F.col(c).startswith("starting"), "starting").otherwise(F.col(c))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", before string, after string, accepted boolean, effects array<string>, reason string"
-    return sorted_rows.mapInPandas(fold, schema).withColumns({"before": shown("before"), "after": shown("after")})
+    nameless = ("hold_down!", "toggle!")  # without a session
+    rules = moves | {(s, f"{e}!"): x for (s, e), x in moves.items() if e in ("hold_down", "toggle") and s != "idle"}
+    bare = F.col(event).isin("hold_down", "toggle") & (F.coalesce(F.col(session), F.lit("")) == "")
+    symbol = F.when(bare, F.concat(F.col(event), F.lit("!"))).otherwise(F.col(event))
+    steps = {k: after for k, (after, _, _) in rules.items()} | {("idle", x): "idle" for x in nameless}
+    rows = automata.states_before(events, key, order, symbol, steps, "idle")
+    spark = events.sparkSession
+    outcomes = spark.createDataFrame([(s, e, after, reason is None, list(effects), reason) for (s, e), (after, effects, reason) in rules.items()], "__s string, __e string, after string, accepted boolean, effects array<string>, reason string")
+    out = rows.join(F.broadcast(outcomes), (F.col("before") == F.col("__s")) & (F.col("__symbol") == F.col("__e")), "left")
+    shown = lambda c: F.when(c.startswith("starting"), "starting").otherwise(c)
+    after = F.coalesce("after", "before")
+    known = F.col("__e").isNotNull()
+    return out.select(
+        *events.columns, shown(F.col("before")).alias("before"), shown(after).alias("after"), F.coalesce("accepted", F.lit(False)).alias("accepted"), F.coalesce("effects", F.array().cast("array<string>")).alias("effects"),
+        F.when(known, F.col("reason")).otherwise("invalid_transition").alias("reason"),
+    )
