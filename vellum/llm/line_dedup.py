@@ -82,6 +82,8 @@ def twice_filter(docs: DataFrame, text_col: str, min_chars: int, log2_bits: int)
             _, first, count = np.unique(halves[:, 0], return_index=True, return_counts=True)
             rows = {}
             for name, some in (("once", first), ("twice", first[count > 1])):
+                if not len(some):  # no line twice
+                    continue
                 at = np.unique(np.concatenate(_positions(halves[some], log2_bits)))
                 part, cut = np.unique(at >> bits, return_index=True)
                 for k, x in zip(part.tolist(), np.split((at & ((1 << bits) - 1)).astype(np.int32), cut[1:]), strict=True):
