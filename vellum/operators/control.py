@@ -277,14 +277,13 @@ def installs(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     rows = events.withColumn("__n", F.sum(put.cast("int")).over(w))
     # Of each install, how many rollbacks follow before the next.
     each = rows.groupBy(key, "__n").agg(F.max(F.when(put, F.col("artifact"))).alias("artifact"), F.sum((~put).cast("int")).alias("__back")).where("__n > 0")
-    start = F.struct(F.lit(None).cast("string").alias("active"), F.lit(None).cast("string").alias("previous"))
-
-    def step(s: Column, x: Column) -> Column:
-        active = F.when(x["__back"] == 0, x["artifact"]).when(x["__back"] == 1, s["active"])
-        return F.struct(active.alias("active"), F.when(x["__back"] == 0, s["active"]).alias("previous"))
-
-    listed = F.array_sort(F.collect_list(F.struct("__n", F.col("artifact").cast("string").alias("artifact"), "__back")))
-    return each.groupBy(key).agg(F.aggregate(listed, start, step).alias("s")).select(key, "s.*")
+    # One rollback leaves what was active before, so what is active comes from the last install without exactly one.
+    plain = F.when(F.col("__back") != 1, F.struct("__n", F.col("artifact").cast("string").alias("artifact"), "__back"))
+    ends = each.groupBy(key).agg(F.max(F.struct("__n", "__back")).alias("l"), F.max(plain).alias("p"))
+    before = each.join(ends.select(F.col(key).alias("__k"), F.col("l.__n").alias("__last")), F.col(key).eqNullSafe(F.col("__k"))).where("__n < __last").groupBy("__k").agg(F.max(plain).alias("q"))
+    shown = lambda x: F.when(F.col(f"{x}.__back") == 0, F.col(f"{x}.artifact"))
+    out = ends.join(before, F.col(key).eqNullSafe(F.col("__k")), "left")
+    return out.select(key, shown("p").alias("active"), F.when(F.col("l.__back") == 0, shown("q")).alias("previous"))
 
 
 def delivery_reason(installed: str, budget: int, form: str) -> Column:

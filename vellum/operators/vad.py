@@ -23,8 +23,9 @@ def levels(samples: DataFrame, frame: int = FRAME) -> DataFrame:
 
 def floors(frames: DataFrame) -> DataFrame:
     """(session_id, floor): the level at rank max(1, n div 5)."""
-    ordered = F.array_sort(F.collect_list("level"))
-    return frames.groupBy("session_id").agg(ordered.alias("l")).select("session_id", F.element_at("l", F.greatest(F.lit(1), F.floor(F.size("l") / 5)).cast("int")).alias("floor"))
+    w = Window.partitionBy("session_id")
+    ranked = frames.select("session_id", "level", F.row_number().over(w.orderBy("level")).alias("r"), F.count("*").over(w).alias("n"))
+    return ranked.where(F.col("r") == F.greatest(F.lit(1), F.floor(F.col("n") / 5))).select("session_id", F.col("level").alias("floor"))
 
 
 def speaking(frames: DataFrame, open_frames: int = OPEN, close_frames: int = CLOSE) -> DataFrame:
