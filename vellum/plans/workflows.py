@@ -199,7 +199,7 @@ def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interval_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring lines of an order as intervals: whether they meet, touch, hold a point; lengths in time."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "b")
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") % 60).alias("a"), (F.col("l_partkey") % 60 + F.col("l_quantity").cast("long") % 30).alias("b"))
     both = lines.select("*", F.lead("a").over(w).alias("c"), F.lead("b").over(w).alias("d"))
     a, b, c, d = map(F.col, "abcd")
@@ -367,7 +367,7 @@ b AS (SELECT sum(trunc(l_quantity))::BIGINT AS words, sum(floor(l_quantity * l_d
 SELECT dimension, value, caught, total, round(greatest(0, (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt((p * (1 - p) + z * z / (4 * n)) / n) / (1 + z * z / n)), 6) AS low, words, removed, refused FROM p, b""",
     "mandatory_spans": "SELECT l_orderkey AS session_id, count(*) AS spans, min(l_linenumber) AS first, max(l_linenumber) + 1 AS last FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY l_orderkey",
     "record_keys": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'extra' ELSE '' END AS unknown, 1 AS others FROM events",
-    "interval_relations": """WITH l AS (SELECT l_orderkey, l_partkey % 60 AS a, l_partkey % 60 + trunc(l_quantity)::BIGINT % 30 AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem),
+    "interval_relations": """WITH l AS (SELECT l_orderkey, l_partkey % 60 AS a, l_partkey % 60 + trunc(l_quantity)::BIGINT % 30 AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, trunc(l_quantity)::BIGINT % 30) AS i FROM lineitem),
 p AS (SELECT x.*, y.a AS c, y.b AS d FROM l x LEFT JOIN l y ON x.l_orderkey = y.l_orderkey AND y.i = x.i + 1)
 SELECT l_orderkey, count(*) FILTER (a < d AND c < b) AS meets, count(*) FILTER (a <= d AND c <= b) AS touches, count(*) FILTER (a <= c AND c < b) AS holds, round(sum(b / 16.0::DOUBLE), 4) AS ms, sum(greatest(a - 30, 0) * 160)::BIGINT AS samples, sum(b - a)::BIGINT AS length FROM p GROUP BY l_orderkey""",
     "shifted_words": "SELECT l_orderkey, sum(l_linenumber + l_orderkey)::BIGINT AS starts, sum(l_partkey + l_orderkey)::BIGINT AS ends FROM lineitem GROUP BY l_orderkey",
