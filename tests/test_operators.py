@@ -299,6 +299,31 @@ def test_event_permissions(spark):
     assert got == {("a", k) for k, s in control.EVENT_SCOPES.items() if s == "status:read"} | {("b", "transcript.final")}
 
 
+def test_seen_events_are_counted_before_clients_meet_them(spark, tmp_path):
+    """4,000 events and 3,000 clients, one listed twice: the counts of brute force, and no join makes a row for each pair."""
+    from vellum.plans import workflows
+
+    spark.range(4000).selectExpr("id AS event_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(3000).union(spark.range(1)).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = workflows.seen_events(spark, str(tmp_path))
+    rows = {(r["client_id"], r["kind"]): (r["n"], r["ids"]) for r in got.collect()}
+    kinds = ("session.started", "transcript.partial", "transcript.final", "session.stopped", "error")
+    own = {k: [i for i in range(4000) if i % 5 == x] for x, k in enumerate(kinds)}
+    expected = {}
+    for c in range(3000):
+        seen = {"session.started", "session.stopped", "error"} if c % 2 == 0 else {"transcript.partial", "transcript.final"}
+        for k in seen & {"transcript.final", "error"} if c % 3 == 0 else seen:
+            twice = 2 if c == 0 else 1
+            expected[c, k] = (twice * len(own[k]), twice * sum(own[k]))
+    assert rows == expected
+    plan = got._jdf.queryExecution().optimizedPlan()
+    joins = [plan]
+    while joins and not joins[-1].nodeName() == "Join":
+        joins.append(joins[-1].children().head())
+    left = joins[-1].children().head().toString()
+    assert "Aggregate" in left  # what meets the clients is counted already
+
+
 def test_time_split_of_a_wide_table(spark):
     rows = spark.range(60_000).select((F.col("id") % 3).alias("tenant"), F.pmod(F.xxhash64("id"), F.lit(1_000_000)).alias("at"), "id", F.repeat(F.lit("x"), 50).alias("wide"))
     split = control.time_split(rows, "tenant", ["at", "id"])
