@@ -324,6 +324,23 @@ def test_seen_events_are_counted_before_clients_meet_them(spark, tmp_path):
     assert "Aggregate" in left  # what meets the clients is counted already
 
 
+def test_spoken_segments_are_not_cut_into_cells(spark):
+    """Against brute force, with segments as long as ten thousand days: a row for each of their seconds would never end."""
+    import random
+
+    from vellum.operators import recognised
+
+    draw = random.Random(4)
+    day = 86_400 * 16_000
+    segments = [(i % 9 if i % 50 else None, i, a := draw.randrange(300), a + draw.randrange(-2, 20), draw.choice((0.1, 0.7, 0.71))) for i in range(600)]
+    segments += [(k, 1000 + k, 50, 50 + 10_000 * day, 0.5) for k in range(12)]
+    speech = [(draw.randrange(8) if i % 20 else None, a := draw.randrange(300), a + draw.randrange(0, 6)) for i in range(60)] + [(10, 5_000 * day, 5_000 * day + 1), (11, 10_000 * day + 50, 10_000 * day + 60)]
+    got = recognised.spoken_segments(spark.createDataFrame(segments, "session_id long, n long, start long, end long, no_speech double"), spark.createDataFrame(speech, "session_id long, start long, end long"), 0.7)
+    assert got.columns == ["session_id", "n", "start", "end", "no_speech"]
+    expected = sorted(n for k, n, a, b, p in segments if k is not None and b > a and p <= 0.7 and any(q == k and d > c and c < b and a < d for q, c, d in speech))
+    assert sorted(r["n"] for r in got.collect()) == expected
+
+
 def test_time_split_of_a_wide_table(spark):
     rows = spark.range(60_000).select((F.col("id") % 3).alias("tenant"), F.pmod(F.xxhash64("id"), F.lit(1_000_000)).alias("at"), "id", F.repeat(F.lit("x"), 50).alias("wide"))
     split = control.time_split(rows, "tenant", ["at", "id"])

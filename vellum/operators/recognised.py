@@ -48,10 +48,17 @@ def grouped_words(tokens: DataFrame) -> DataFrame:
     return words.where("text <> ''").select("segment_id", F.col("word_ix").cast("long").alias("word_ix"), "text", "start", "end", "confidence", "unreliable")
 
 
-def spoken_segments(segments: DataFrame, speech: DataFrame, most: float = NO_SPEECH, width: int = 16_000) -> DataFrame:
-    """Segments (session_id, start, end, no_speech) that aren't likely invented: not taken for silence, and some speech within."""
-    heard = intervals.overlap_lengths(segments.select("session_id", "start", "end").distinct(), speech, ["session_id"], width)
-    return segments.where(F.col("no_speech") <= most).join(heard.where("covered > 0").select("session_id", "start", "end"), ["session_id", "start", "end"], "left_semi")
+def spoken_segments(segments: DataFrame, speech: DataFrame, most: float = NO_SPEECH) -> DataFrame:
+    """Segments (session_id, start, end, no_speech) that aren't likely invented: not taken for silence, and some speech within.
+
+    One window over both, by time: of the speech that begins before a segment ends, the latest end tells whether any of it
+    lies within. Speech may come in any order and overlap; no segment is cut into cells, however long.
+    """
+    asked = segments.where((F.col("no_speech") <= most) & (F.col("end") > F.col("start")) & F.col("session_id").isNotNull()).select("*", F.col("end").alias("__at"), F.lit(0).alias("__kind"))
+    heard = speech.where("end > start AND session_id IS NOT NULL").select("session_id", F.col("start").alias("__at"), F.lit(1).alias("__kind"), F.col("end").alias("__heard"))
+    order = Window.partitionBy("session_id").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(heard, allowMissingColumns=True).withColumn("__heard", F.max("__heard").over(order))
+    return both.where("__kind = 0 AND __heard > start").select(*segments.columns)
 
 
 def partial_segments(segments: DataFrame, offset: Column, most: float = PARTIAL_NO_SPEECH) -> DataFrame:

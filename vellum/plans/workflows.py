@@ -122,7 +122,7 @@ def segment_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem")
     start = F.col("l_partkey") * 50
     segments = lines.select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("n"), start.alias("start"), (start + F.col("l_suppkey") * 10 + 1).alias("end"), (F.col("l_discount") * 10).alias("no_speech"))
-    speech = intervals.merge(lines.where("l_quantity > 25").select(F.col("l_orderkey").alias("session_id"), (start + 40).alias("start"), (start + 60).alias("end")), ["session_id"])
+    speech = lines.where("l_quantity > 25").select(F.col("l_orderkey").alias("session_id"), (start + 40).alias("start"), (start + 60).alias("end"))
     whole = recognised.spoken_segments(segments, speech, 0.7).groupBy("session_id").agg(F.count("*").alias("spoken"), F.sum("n").alias("lines"))
     part = recognised.partial_segments(segments, F.lit(16), 0.5).groupBy("session_id").agg(F.count("*").alias("partial"), F.min("start").alias("first"), F.max("end").alias("last"))
     return whole.join(part, "session_id", "full_outer")
