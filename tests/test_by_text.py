@@ -74,3 +74,11 @@ def test_no_word_is_shuffled_or_stored(spark, small, name):
     assert "Window" not in plan and "step-" not in plan
     assert ("Exchange" in plan) == ("words" in name)
     assert not any("display" in line or "text" in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_training_copies_meet_by_their_id(spark, small):
+    """No exchange deals sessions by their content, of which many may have the same or none; only counted ones are."""
+    QUERIES["training_copies"](spark, small).createOrReplaceTempView("copies")
+    plan = spark.table("copies")._jdf.queryExecution().executedPlan().toString()
+    assert "[content_hash" not in "".join(line for line in plan.splitlines() if "Join" in line)
+    assert [r[0] for r in spark.createDataFrame([(None,), ("",), (" \u3000\n\u0085",), (" .",), ("\u2007x",)], "t string").select(T.any_word(F.col("t"))).collect()] == [False, False, False, True, True]
