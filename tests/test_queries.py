@@ -132,3 +132,16 @@ def test_detector_hits_contain_the_single_ones(spark, small):
     parts = sorted(tuple(r[c] for c in ("doc_id", "start", "stop", "detector")) for q in ("identifier_hits", "number_hits") for r in QUERIES[q](spark, small).collect())
     names = {p[3] for p in parts}
     assert [w for w in whole if w[3] in names] == parts
+
+
+@pytest.mark.parametrize("name", ("interval_merge", "interval_pad_merge", "interval_complement", "interval_destinations", "interval_overlap"))
+def test_intervals_of_broken_quantities(spark, tmp_path, name):
+    """SQL rounds to the nearest whole number, and halves to the even one."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lineitem AS SELECT k // 3 AS l_orderkey, k AS l_partkey, (k % 3)::INT AS l_linenumber, k / 4.0::DOUBLE AS l_quantity FROM range(240) r(k)")
+    con.execute("CREATE TABLE orders AS SELECT k AS o_orderkey FROM range(82) r(k)")
+    for t in ("lineitem", "orders"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    found = con.execute(SQL[name])
+    assert table(got.columns, [tuple(r) for r in got.collect()]) == table([c[0] for c in found.description], found.fetchall())

@@ -13,9 +13,9 @@ NOW = 1_735_689_600  # what the queries take as the present
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping intervals of orders: two for each line."""
+    """Overlapping intervals of orders: two for each line. Quantities become whole as in SQL: the nearest, of two the even one."""
     start = F.col("l_linenumber") * 12 + F.col("l_partkey") % 40
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", start.alias("start"), (start + F.col("l_quantity").cast("long") % 15).alias("end"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", start.alias("start"), (start + F.rint("l_quantity").cast("long") % 15).alias("end"))
 
 
 KEY = ["l_orderkey"]
